@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quaylight.llm import exact_dedup, mixing
+from quaylight.llm import exact_dedup, mixing, quality_rules
 from quaylight.llm.common import table
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_report(table(spark, sf_dir))
+
+
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(table(spark, sf_dir))
 
@@ -19,8 +23,8 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_source_mixing, op3_exact_dedup)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_source_mixing, op3_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_source_mixing": mixing.ORACLE, "op3_exact_dedup": exact_dedup.ORACLE}
+    return {"op1_quality_rules": quality_rules.ORACLE, "op2_source_mixing": mixing.ORACLE, "op3_exact_dedup": exact_dedup.ORACLE}
