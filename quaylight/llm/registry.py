@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quaylight.llm import exact_dedup, mixing, quality_rules
+from quaylight.llm import exact_dedup, mixing, quality_rules, secrets, token_counts
 from quaylight.llm.common import table
 
 
@@ -22,8 +23,16 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir))
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_secrets(table(spark, sf_dir))
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_source_mixing, op3_exact_dedup)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_source_mixing, op3_exact_dedup, op5_secret_scan, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
