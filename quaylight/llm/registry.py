@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quaylight.llm import exact_dedup, mixing, pii, quality_classifier, quality_rules, secrets, token_counts
+from quaylight.llm import bpe, exact_dedup, mixing, pii, quality_classifier, quality_rules, secrets, token_counts
 from quaylight.llm.common import table
 
 
@@ -23,6 +23,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir))
 
 
+def op4_bpe_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.coded_digests(table(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, sf_dir))
 
@@ -40,7 +44,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_source_mixing, op3_exact_dedup, op5_secret_scan, op6_personal_data, op8_quality_classifier, op10_token_counts)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_source_mixing, op3_exact_dedup, op4_bpe_coding, op5_secret_scan, op6_personal_data, op8_quality_classifier, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
