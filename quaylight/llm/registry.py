@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quaylight.llm import bpe, exact_dedup, minhash, mixing, pii, quality_classifier, quality_rules, secrets, token_counts
+from quaylight.llm import bpe, exact_dedup, minhash, mixing, pii, quality_classifier, quality_rules, repeats, secrets, token_counts
 from quaylight.llm.common import table
 
 
@@ -35,6 +35,10 @@ def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeat_report(table(spark, sf_dir))
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify_quality(table(spark, sf_dir), table(spark, sf_dir, "labels"))
 
@@ -48,7 +52,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_source_mixing, op3_exact_dedup, op4_bpe_coding, op5_secret_scan, op6_personal_data, op8_quality_classifier, op9_minhash_near_dedup, op10_token_counts)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_source_mixing, op3_exact_dedup, op4_bpe_coding, op5_secret_scan, op6_personal_data, op7_suffix_dedup, op8_quality_classifier, op9_minhash_near_dedup, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
