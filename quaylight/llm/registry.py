@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,7 +53,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_source_mixing, op3_exact_dedup, op4_bpe_coding, op5_secret_scan, op6_personal_data, op7_suffix_dedup, op8_quality_classifier, op9_minhash_near_dedup, op10_token_counts)}
+    found = {f.__name__: f for f in (op1_quality_rules, op2_source_mixing, op3_exact_dedup, op4_bpe_coding, op5_secret_scan, op6_personal_data, op7_suffix_dedup, op8_quality_classifier, op9_minhash_near_dedup, op10_token_counts)}
+    return found | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
