@@ -212,4 +212,19 @@ SQL = {
     ),
     "wire_roundtrip": _with(FEED, "SELECT channel, sequence, exchange_ns, msg_type, symbol, order_id, aux_id, side, quantity, price FROM feed WHERE order_id IS NOT NULL OR msg_type = 'P'"),
     "spread_stats": _with(IMAGES, "SELECT symbol, count(*) AS images, count(ask - bid) AS quoted, count(*) FILTER (WHERE ask <= bid) AS crossed_images, min(ask - bid) AS least, max(ask - bid) AS most, CAST(sum(ask - bid) AS BIGINT) AS total FROM images GROUP BY symbol"),
+    "order_roots": "WITH RECURSIVE " + FEED.strip() + """, root AS (SELECT order_id, order_id AS root, 0 AS depth FROM feed WHERE msg_type = 'A'
+  UNION ALL SELECT f.aux_id, r.root, r.depth + 1 FROM root r JOIN feed f ON f.msg_type = 'U' AND f.order_id = r.order_id) SELECT * FROM root""",
+    "channel_router": "WITH RECURSIVE " + FEED.strip() + """, root AS (SELECT order_id, symbol FROM feed WHERE msg_type = 'A'
+  UNION ALL SELECT f.aux_id, r.symbol FROM root r JOIN feed f ON f.msg_type = 'U' AND f.order_id = r.order_id)
+  SELECT sequence, CASE WHEN coalesce(f.symbol, r.symbol) <> 'S000009' THEN CAST(CAST(substr(coalesce(f.symbol, r.symbol), 2) AS INT) % 4 AS INT) END AS routed_channel
+  FROM feed f LEFT JOIN root r ON f.order_id = r.order_id AND f.msg_type NOT IN ('A', 'P')""",
+    "side_totals": _with(LIFE, "SELECT symbol, side, CAST(sum(quantity) AS BIGINT) AS quantity, CAST(sum(order_count) AS BIGINT) AS orders FROM levels GROUP BY symbol, side"),
+    "latest_images": _with(IMAGES, "SELECT symbol, version, sequence, bids, asks FROM images QUALIFY version = max(version) OVER (PARTITION BY symbol)"),
+    "dirty_symbols": _with(IMAGES, "SELECT (sequence + 62) // 64 AS pass, count(DISTINCT symbol) AS symbols, count(*) - count(DISTINCT symbol) AS skipped FROM images GROUP BY 1"),
+    "entitlement_as_of": """WITH c AS (SELECT 'T' || c_custkey AS token, v AS version, 1704067200000000000 + d * 86400000000000 AS changed_at, c_nationkey + 1 AS venue_mask, r AS revoked
+   FROM customer, (VALUES (1, 1, false), (2, 8, true), (3, 15, false)) s(v, d, r)),
+  a AS (SELECT 'T' || user_id AS token, epoch_us(ts) * 1000 AS at FROM events)
+  SELECT a.token, a.at, CASE WHEN NOT revoked THEN version END AS version, CASE WHEN NOT revoked THEN venue_mask END AS venue_mask FROM a ASOF LEFT JOIN c ON a.token = c.token AND a.at >= c.changed_at""",
+    "login_status": """SELECT CASE WHEN event_id % 7 = 0 THEN 'BadVersion' WHEN c_custkey IS NULL THEN 'UnknownToken' ELSE 'Ok' END AS status, count(*) AS attempts
+  FROM events LEFT JOIN customer ON user_id * 3 = c_custkey GROUP BY 1""",
 }

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quaylight import schema as S
 from quaylight.functions import histogram as H
 from quaylight.functions.market import wall_micros
-from quaylight.operators import analytics, books, distribution, sequencing
+from quaylight.operators import analytics, books, distribution, lifecycle, sequencing
 from quaylight.sources import events_feed, simulator, wire
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -262,3 +262,61 @@ def sim_flow_shape(spark, sf_dir):
     """Message types of a simulated market, by instrument."""
     flow = simulator.market(spark, instruments=20, messages=400)
     return flow.groupBy("symbol", "msg_type").agg(F.count(F.lit(1)).alias("messages"))
+
+
+@query
+def order_roots(spark, sf_dir):
+    return lifecycle.order_roots(events_feed.feed(spark, sf_dir))
+
+
+@query
+def channel_router(spark, sf_dir):
+    return lifecycle.routed(events_feed.feed(spark, sf_dir), events_feed.instruments(spark)).select("sequence", "routed_channel")
+
+
+@query
+def side_totals(spark, sf_dir):
+    return _levels(spark, sf_dir).groupBy("symbol", "side").agg(F.sum("quantity").alias("quantity"), F.sum("order_count").alias("orders"))
+
+
+@query
+def latest_images(spark, sf_dir):
+    """The latest-value cell of every symbol."""
+    newest = books.images(outcome(spark, sf_dir)).groupBy("symbol").agg(F.max_by(F.struct("version", "sequence", "bids", "asks"), "version").alias("i")).select("symbol", "i.*")
+    return newest.select("symbol", "version", "sequence", books.image_text("bids").alias("bids"), books.image_text("asks").alias("asks"))
+
+
+@query
+def dirty_symbols(spark, sf_dir):
+    """How many symbols each pass finds changed, and how many states it skips."""
+    images = books.images(outcome(spark, sf_dir)).select("symbol", "version", "sequence")
+    passes = images.withColumn("pass", F.floor((F.col("sequence") + 62) / 64).cast("long")).groupBy("pass")
+    return passes.agg(F.countDistinct("symbol").alias("symbols"), (F.count(F.lit(1)) - F.countDistinct("symbol")).alias("skipped"))
+
+
+@query
+def entitlement_as_of(spark, sf_dir):
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    day = 86_400_000_000_000
+    first = 1_704_067_200_000_000_000
+    states = F.array(*[F.struct(F.lit(v).alias("version"), F.lit(first + d * day).alias("changed_at"), F.lit(r).alias("revoked")) for v, d, r in ((1, 1, False), (2, 8, True), (3, 15, False))])
+    changes = c.select(F.concat(F.lit("T"), F.col("c_custkey")).alias("token"), F.explode(states).alias("x"), (F.col("c_nationkey") + 1).alias("venue_mask")).select("token", "x.*", "venue_mask")
+    asked = _sockets(spark, sf_dir).select(F.concat(F.lit("T"), F.col("client_id")).alias("token"), F.col("now_ns").alias("at"))
+    return distribution.entitled_as_of(changes, asked)
+
+
+@query
+def login_status(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    tries = e.select(F.concat(F.lit("T"), F.col("user_id") * 3).alias("token"), F.when(F.col("event_id") % 7 == 0, 2).otherwise(1).alias("protocol"))
+    return distribution.logins(tries, events_feed.clients(spark, sf_dir)).groupBy("status").agg(F.count(F.lit(1)).alias("attempts"))
+
+
+@query
+def loss_invalidation(spark, sf_dir):
+    """Outcomes by channel when the lost packets of the fixture empty the books: a loss row before each first message after."""
+    numbered, arrivals = _arrivals(spark, sf_dir)
+    got = sequencing.loss_epochs(sequencing.delivered(arrivals, numbered)).drop("recovered", "copies", "arrival_no", "epoch", "n")
+    losses = got.where("gap_before").withColumn("msg_type", F.lit(S.LOSS))
+    feed = got.unionByName(losses)
+    return books.fold(feed, books.master(events_feed.instruments(spark))).groupBy("channel", "status").agg(F.count(F.lit(1)).alias("events"), F.count("version").alias("published"))
