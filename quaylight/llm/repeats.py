@@ -3,9 +3,10 @@
 All windows of WINDOW bytes choose an anchor, the place of their smallest GRAM-byte hash; equal windows choose the same
 one, so they meet under its hash. Neighbouring windows with one anchor form a segment. Where an anchor's hash occurs
 once, its windows are unique and go no further. For the others, equal segments are counted once with their number, and
-the different segments of one anchor are put in a suffix array (linear grouping, see suffix_groups): windows that stand
-next to an equal one repeat, and so do all windows of a segment that itself occurs twice. An anchor with more than HOT
-different segments is not gathered: its windows are counted one by one, by hash, with partial sums.
+the different segments of one anchor are put in a suffix array (linear grouping, see suffix_groups), the bytes of the
+anchor, which all of them hold, as one symbol. Windows that stand next to an equal one repeat, and so do all windows of
+a segment that itself occurs twice. More than HOT different segments of one anchor are dealt to several suffix arrays,
+each with at most about HOT; the windows that are single in theirs are then counted across the arrays, by hash.
 
 Defined results: a null text is an empty one; texts are UTF-8 bytes and matches never cross documents; a repeated row
 is another document with the same text, so texts of WINDOW bytes or more vanish in it; every row gives one row; an
@@ -14,6 +15,7 @@ empty table gives no rows; only doc_id and text are read.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,11 +28,11 @@ from quaylight.llm.shingles import mixed
 from quaylight.llm.suffix_groups import suffix_array
 
 WINDOW = 200
-GRAM = 32
-#: Different segments of one anchor that a suffix array takes; beyond it their windows are counted by hash.
+GRAM = 96
+#: Different segments of one anchor that one suffix array takes; of more, each takes a part.
 HOT = 1024
-#: Rows up to this number are broadcast to a scan of the texts; beyond it both sides are shuffled.
-BROADCAST_ROWS = 500_000
+#: Entries up to this number (of about 24 bytes) are broadcast to a scan of the texts; beyond it both sides are shuffled.
+BROADCAST_ITEMS = 1_500_000
 NO_ID = -(2**63)
 _RNG = np.random.default_rng(7)
 _VALUES = _RNG.integers(1, 2**63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -39,12 +41,13 @@ _STEPS = _RNG.integers(1, 2**63, 16, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
-    """A hash of the GRAM bytes from each place on, by doubling."""
+    """A hash of the GRAM bytes from each place on: by doubling, then of the two halves that cover the rest."""
     h, width, k = _VALUES[data], 1, 0
     while width < GRAM:
-        h = h[:-width] * _STEPS[k] + h[width:]
+        step = min(width, GRAM - width)
+        h = h[:-step] * _STEPS[k] + h[step:]
         h ^= h >> np.uint64(29)
-        width, k = 2 * width, k + 1
+        width, k = width + step, k + 1
     return mixed(h)
 
 
@@ -59,9 +62,18 @@ def stretch_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np
     return mixed((sums[ends] - sums[starts]) * power[n - starts] * back + (ends - starts).astype(np.uint64))
 
 
+def packed(start: np.ndarray, anchor: np.ndarray, windows: np.ndarray) -> np.ndarray:
+    """A segment's start in its text, its anchor's place in it and its number of windows (both under 256) as one long;
+    bits 16 and 17 are free for TWICE and HOT_BIT."""
+    return start << 20 | anchor << 8 | windows
+
+
+TWICE, HOT_BIT = 1 << 16, 1 << 17
+
+
 def segments(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Of all segments of some texts: text, start in it, number of windows, hash of the anchor, hash of the bytes."""
-    none = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
+    """Of all segments of some texts: text, place (packed), hash of the anchor, hash of the bytes."""
+    none = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.uint64, np.uint64))
     n, span = len(data), WINDOW - GRAM + 1
     if n < WINDOW:
         return none
@@ -83,7 +95,7 @@ def segments(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     first = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (owner[1:] != owner[:-1])]))
     counts = np.diff(np.append(first, len(inside)))
     starts, owners = inside[first], owner[first]
-    return owners, starts - offsets[owners], counts, grams[at[first]], stretch_hashes(data, starts, starts + counts - 1 + WINDOW)
+    return owners, packed(starts - offsets[owners], at[first] - starts, counts), grams[at[first]], stretch_hashes(data, starts, starts + counts - 1 + WINDOW)
 
 
 def _mark() -> Column:
@@ -103,150 +115,145 @@ def indexed(docs: DataFrame) -> DataFrame:
     def step(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         parts = []
         for part in cut(batch, 2 << 20):
-            owners, starts, counts, anchors, hashes = segments(*bytes_of(part.column(2)))
+            owners, places, anchors, hashes = segments(*bytes_of(part.column(2)))
             ends = np.searchsorted(owners, np.arange(part.num_rows + 1))
-            parts.append(
-                pa.RecordBatch.from_arrays(
-                    [
-                        part.column(0), part.column(1),
-                        lists(starts, ends, pa.int32()), lists(counts, ends, pa.int32()),
-                        lists(anchors.view(np.int64), ends, pa.int64()), lists(hashes.view(np.int64), ends, pa.int64()),
-                    ],
-                    names=["id", "mark", "s", "w", "a", "g"],
-                ).filter(pa.array(np.diff(ends) > 0))
-            )
+            columns = [lists(x.view(np.int64), ends, pa.int64()) for x in (places, anchors, hashes)]
+            parts.append(pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], names=["id", "mark", "at", "a", "g"]).filter(pa.array(np.diff(ends) > 0)))
         table = pa.Table.from_batches(parts).combine_chunks()
         return table.to_batches()[0] if table.num_rows else None
 
-    return map_batches(docs.select(_id().alias("id"), _mark().alias("mark"), "text"), "id long, mark long, s array<int>, w array<int>, a array<long>, g array<long>", step)
-
-
-def repeated_starts(parts: list[tuple[bytes, int, int]]) -> list[list[tuple[int, int]]]:
-    """Of each different segment (bytes, number of windows, times it occurs) of one anchor: the stretches of window
-    starts that occur elsewhere, read off the suffix array of all segments."""
-    marks = [np.full(w, n > 1) for _, w, n in parts]
-    if len(parts) > 1:
-        joined, lengths = bytearray(), []
-        for raw, _, _ in parts:
-            joined += raw
-            lengths.append(len(raw))
-        ends = np.cumsum(lengths)
-        owner = np.repeat(np.arange(len(parts)), lengths)
-        # Bytes stand one higher and every segment ends in a 0, so no order reads on into the next segment's bytes
-        # before it is settled that both segments have ended.
-        symbols = np.insert(np.frombuffer(bytes(joined), np.uint8).astype(np.int32) + 1, ends, 0)
-        array = np.asarray(suffix_array(symbols.tolist()))
-        flat = np.insert(owner, ends, -1)
-        base = np.concatenate([[0], ends[:-1]]) + np.arange(len(parts))
-        own = flat[array]
-        sizes = np.array([w for _, w, _ in parts])
-        is_start = (own >= 0) & (array - base[own] < sizes[own])
-        starts, owners = array[is_start], own[is_start]
-        places = starts - base[owners]
-        last, last_owner, last_place = b"", -1, -1
-        for o, p in zip(owners.tolist(), places.tolist()):
-            now = parts[o][0][p : p + WINDOW]
-            if now == last:
-                marks[o][p] = marks[last_owner][last_place] = True
-            last, last_owner, last_place = now, o, p
-    out = []
-    for m in marks:
-        edges = np.flatnonzero(np.diff(np.concatenate([[False], m, [False]]).astype(np.int8)))
-        out.append(list(zip(edges[::2].tolist(), edges[1::2].tolist())))
-    return out
+    return map_batches(docs.select(_id().alias("id"), _mark().alias("mark"), "text"), "id long, mark long, at array<long>, a array<long>, g array<long>", step)
+
+
+Part = tuple[bytes, int, int, bool]
+
+
+def repeated_starts(parts: list[Part]) -> tuple[list[np.ndarray], list[tuple[int, int]]]:
+    """Of different segments (bytes, number of windows, anchor's place, whether it occurs twice) of one anchor: which
+    windows occur elsewhere, read off the suffix array of all segments, and one place (segment, window) of each run of
+    equal windows."""
+    marks = [np.full(w, twice) for _, w, _, twice in parts]
+    # Bytes stand two higher, the anchor is 1 and every segment ends in a 0, so no order reads on into the next
+    # segment before it is settled that both have ended. Windows start no later than the anchor.
+    pieces, bases, at = [], [], 0
+    for raw, _, o, _ in parts:
+        left, right = raw[:o], raw[o + GRAM :]
+        pieces += [np.frombuffer(left, np.uint8).astype(np.int32) + 2, [1], np.frombuffer(right, np.uint8).astype(np.int32) + 2, [0]]
+        bases.append(at)
+        at += len(left) + len(right) + 2
+    array = np.asarray(suffix_array(np.concatenate(pieces).tolist()))
+    base, sizes = np.array(bases), np.array([w for _, w, _, _ in parts])
+    owners = np.searchsorted(base, array, "right") - 1
+    places = array - base[owners]
+    is_start = places < sizes[owners]
+    runs, last, before = [], b"", (-1, -1)
+    for o, p in zip(owners[is_start].tolist(), places[is_start].tolist()):
+        now = parts[o][0][p : p + WINDOW]
+        if now == last:
+            marks[o][p] = marks[before[0]][before[1]] = True
+        else:
+            runs.append((o, p))
+        last, before = now, (o, p)
+    return marks, runs
 
 
-_STRETCHES = pa.list_(pa.struct([("b", pa.int32()), ("e", pa.int32())]))
+def stretches(mark: np.ndarray) -> list[int]:
+    """Begin and end of each stretch of true entries, one after another."""
+    return np.flatnonzero(np.diff(np.concatenate([[False], mark, [False]]).astype(np.int8))).tolist()
 
 
 def _by_suffix_arrays(pieces: DataFrame) -> DataFrame:
-    """a, g, stretches; pieces (a, g, n, w, raw) of one anchor stand together, at most HOT of them."""
-
-    def solved(a: int, group: list[tuple[int, bytes, int, int]]) -> pa.RecordBatch:
-        found = repeated_starts([(raw, w, n) for _, raw, w, n in group])
-        rows = [[{"b": b, "e": e} for b, e in x] for x in found]
-        return pa.RecordBatch.from_arrays([pa.array([a] * len(group), pa.int64()), pa.array([g[0] for g in group], pa.int64()), pa.array(rows, _STRETCHES)], names=["a", "g", "stretches"])
+    """a, g, found (flat stretches), rest: pieces (a, lot, at, g, raw) of one anchor and lot stand together. rest is for
+    hot anchors: the windows (place, two hashes, times) that are to be counted across the lots."""
+
+    def solved(a: int, group: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+        parts = [(raw, at & 255, at >> 8 & 255, bool(at & TWICE)) for _, at, raw in group]
+        marks, runs = repeated_starts(parts) if len(parts) > 1 else ([np.full(w, twice) for _, w, _, twice in parts], [(0, p) for p in range(parts[0][1])])
+        rest: list[list[tuple]] = [[] for _ in group]
+        if group[0][1] & HOT_BIT:
+            for o, p in runs:  # one of equal windows tells of all
+                h = hashlib.blake2b(parts[o][0][p : p + WINDOW], digest_size=16).digest()
+                rest[o].append({"p": p, "h": int.from_bytes(h[:8], "little", signed=True), "k": int.from_bytes(h[8:], "little", signed=True), "n": 1 + bool(marks[o][p])})
+        return pa.RecordBatch.from_arrays(
+            [pa.array([a] * len(group), pa.int64()), pa.array([g[0] for g in group], pa.int64()), pa.array(map(stretches, marks), pa.list_(pa.int32())), pa.array(rest, _REST)],
+            names=["a", "g", "found", "rest"],
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, group, seen = None, [], set()
         for batch in batches:
-            for a, g, n, w, raw in zip(*(c.to_pylist() for c in batch.columns)):
-                if a != held:
+            for a, lot, at, g, raw in zip(*(c.to_pylist() for c in batch.columns)):
+                if (a, lot) != held:
                     if group:
-                        yield solved(held, group)
-                    held, group, seen = a, [], set()
+                        yield solved(held[0], group)
+                    held, group, seen = (a, lot), [], set()
                 if g not in seen:  # the rows of a repeated document bring a segment twice
                     seen.add(g)
-                    group.append((g, raw, w, n))
+                    group.append((g, at, raw))
         if group:
-            yield solved(held, group)
+            yield solved(held[0], group)
 
-    dealt = pieces.select("a", "g", "n", "w", "raw").repartition("a").sortWithinPartitions("a", "g")
-    return dealt.mapInArrow(run, "a long, g long, stretches array<struct<b:int,e:int>>")
+    dealt = pieces.repartition("a", "lot").sortWithinPartitions("a", "lot", "g")
+    return dealt.select("a", "lot", "at", "g", "raw").mapInArrow(run, "a long, g long, found array<int>, rest array<struct<p:int,h:bigint,k:bigint,n:int>>")
 
 
-def _by_window_counts(pieces: DataFrame) -> DataFrame:
-    """a, g, stretches of the anchors with too many segments: windows are counted by anchor, hash and second hash."""
+_REST = pa.list_(pa.struct([("p", pa.int32()), ("h", pa.int64()), ("k", pa.int64()), ("n", pa.int32())]))
 
-    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        a, g, n, w, raw = (c.to_pylist() for c in batch.columns)
-        rows: list[list[np.ndarray]] = [[] for _ in range(6)]
-        for i, data in enumerate(map(lambda r: np.frombuffer(r, np.uint8), raw)):
-            places = np.arange(w[i])
-            one = stretch_hashes(data, places, places + WINDOW)
-            two = stretch_hashes(data[::-1], len(data) - places - WINDOW, len(data) - places)
-            for column, value in zip(rows, (np.full(w[i], a[i]), np.full(w[i], g[i]), np.full(w[i], n[i]), places, one.view(np.int64), two.view(np.int64))):
-                column.append(value)
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in rows], names=["a", "g", "n", "p", "h", "k"])
-
-    once = pieces.select("a", "g", "n", "w", "raw").dropDuplicates(["a", "g"])
-    windows = staged(map_batches(once, "a long, g long, n long, p long, h long, k long", step), "hot-windows")
-    twice = windows.groupBy("a", "h", "k").agg(F.sum("n").alias("times")).where("times > 1")
-    found = windows.join(twice, ["a", "h", "k"]).groupBy("a", "g").agg(F.sort_array(F.collect_set(F.col("p").cast("int"))).alias("p"))
-    return found.select("a", "g", F.transform("p", lambda p: F.struct(p.alias("b"), (p + 1).alias("e"))).alias("stretches"))
+
+def _across_lots(solved: DataFrame) -> DataFrame:
+    """a, g, found of windows that are single in their lot and occur in another one."""
+    windows = solved.where(F.size("rest") > 0).select("a", "g", F.explode("rest").alias("x")).select("a", "g", "x.*")
+    times = windows.groupBy("a", "h", "k").agg(F.sum("n").alias("times")).where("times > 1")
+    more = windows.where("n = 1").join(times, ["a", "h", "k"])
+    return more.select("a", "g", F.array("p", F.col("p") + 1).alias("found"))
 
 
 def repeated_stretches(docs: DataFrame) -> DataFrame:
-    """id, mark, starts: for each text with repeats, the stretches of window starts that occur elsewhere as well."""
+    """id, mark, runs (flat): for each text with repeats, its bytes under windows that occur elsewhere as well."""
     rows = staged(indexed(docs).withColumn("uid", F.monotonically_increasing_id()), "segments")
-    every = rows.select("uid", F.explode(F.arrays_zip("s", "w", "a", "g")).alias("x")).select("uid", "x.s", "x.w", "x.a", "x.g")
+    every = rows.select("uid", F.explode(F.arrays_zip("at", "a", "g")).alias("x")).select("uid", "x.at", "x.a", "x.g")
     shared = every.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a")
     places = staged(every.join(shared, "a"), "shared-segments")
-    kinds = places.groupBy("a", "g").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("uid", "s", "w")).alias("at")).select("a", "g", "n", "at.*")
-    kinds = staged(kinds, "segment-kinds")
-    sizes = kinds.groupBy("a").agg(F.count(F.lit(1)).alias("kinds"))
-    told = kinds.join(sizes, "a")
-    alone = told.where("kinds = 1").select("a", "g", F.array(F.struct(F.lit(0).alias("b"), F.col("w").alias("e"))).alias("stretches"))
-
-    wanted = told.where("kinds > 1").groupBy("uid").agg(F.collect_list(F.struct("a", "g", "n", "s", "w", (F.col("kinds") > HOT).alias("hot"))).alias("parts"))
+    kinds = staged(places.groupBy("a", "g").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("uid", "at")).alias("first")).select("a", "g", "n", "first.*"), "segment-kinds")
+    # Where every kind of an anchor occurs twice, there is nothing to find out.
+    told = kinds.join(kinds.groupBy("a").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least")), "a")
+    clear = told.where("least > 1").select("a", "g", F.array(F.lit(0), F.col("at").bitwiseAND(255).cast("int")).alias("found"))
+
+    lots = F.ceil(F.col("kinds") / HOT)
+    flags = F.when(F.col("n") > 1, TWICE).otherwise(0) + F.when(F.col("kinds") > HOT, HOT_BIT).otherwise(0)
+    lot = F.pmod(F.xxhash64("g"), lots.cast("long")).cast("int")
+    wanted = told.where("least = 1").groupBy("uid").agg(F.collect_list(F.struct("a", lot.alias("lot"), (F.col("at") + flags).alias("at"), "g")).alias("parts"))
     wanted = staged(wanted.join(rows.select("uid", "id", "mark"), "uid").select("id", "mark", "parts"), "wanted-segments")
     texts = docs.select(_id().alias("id"), _mark().alias("mark"), F.coalesce("text", F.lit("")).cast("binary").alias("raw"))
-    cuts = texts.join(_sized(wanted), ["id", "mark"]).select("raw", F.explode("parts").alias("p"))
-    pieces = cuts.select("p.a", "p.g", "p.n", "p.w", "p.hot", F.substring("raw", F.col("p.s") + 1, F.col("p.w") + (WINDOW - 1)).alias("raw"))
-    pieces = staged(pieces, "segment-bytes")
-    solved = _by_suffix_arrays(pieces.where(~F.col("hot")))
-    if pieces.where("hot").limit(1).count():
-        solved = solved.unionByName(_by_window_counts(pieces.where("hot")))
-    solved = solved.where(F.size("stretches") > 0).unionByName(alone)
-    hits = places.join(solved, ["a", "g"]).select("uid", F.explode(F.transform("stretches", lambda x: F.struct((x["b"] + F.col("s")).alias("b"), (x["e"] + F.col("s")).alias("e")))).alias("x"))
-    merged = hits.groupBy("uid").agg(F.array_sort(F.collect_list("x")).alias("starts"))
-    return merged.join(rows.select("uid", "id", "mark"), "uid").select("id", "mark", "starts")
-
-
-def _sized(df: DataFrame) -> DataFrame:
-    """A written table, broadcast if its rows are few."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
-def removed_runs(starts: list[dict[str, int]] | None) -> list[tuple[int, int]]:
-    """Byte runs under windows that start in the stretches (b, e): each covers b to e - 1 + WINDOW."""
-    out: list[tuple[int, int]] = []
-    for x in sorted(starts or (), key=lambda x: x["b"]):
-        b, e = x["b"], x["e"] - 1 + WINDOW
-        if out and b <= out[-1][1]:
-            out[-1] = (out[-1][0], max(e, out[-1][1]))
+    cuts = texts.join(_sized(wanted, "parts"), ["id", "mark"]).select("raw", F.explode("parts").alias("p"))
+    start, width = F.shiftright("p.at", 20).cast("int"), F.col("p.at").bitwiseAND(255).cast("int")
+    pieces = cuts.select("p.a", "p.lot", "p.at", "p.g", F.substring("raw", start + 1, width + (WINDOW - 1)).alias("raw"))
+    solved = staged(_by_suffix_arrays(pieces), "solved-segments")
+    found = solved.select("a", "g", "found").where(F.size("found") > 0).unionByName(_across_lots(solved)).unionByName(clear)
+    hits = places.join(found, ["a", "g"]).select("uid", F.transform("found", lambda x: F.shiftright("at", 20) + x).alias("x"))
+    by_text = hits.groupBy("uid").agg(F.flatten(F.collect_list("x")).alias("starts")).join(rows.select("uid", "id", "mark"), "uid")
+
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        runs = [removed_runs(x) for x in batch.column(2).to_pylist()]
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(runs, pa.list_(pa.int64()))], names=["id", "mark", "runs"])
+
+    return map_batches(by_text.select("id", "mark", "starts"), "id long, mark long, runs array<long>", step)
+
+
+def _sized(df: DataFrame, items: str) -> DataFrame:
+    """A written table, broadcast if it has few entries in all."""
+    n = df.agg(F.sum(F.size(items))).first()[0] or 0
+    return F.broadcast(df) if n <= BROADCAST_ITEMS else df
+
+
+def removed_runs(starts: list[int]) -> list[int]:
+    """Flat byte runs under windows that start in the flat stretches (begin, end): begin to end - 1 + WINDOW."""
+    out: list[int] = []
+    for b, e in sorted(zip(starts[::2], starts[1::2])):
+        if out and b <= out[-1]:
+            out[-1] = max(out[-1], e - 1 + WINDOW)
         else:
-            out.append((b, e))
+            out += (b, e - 1 + WINDOW)
     return out
 
 
@@ -255,18 +262,17 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     # A repeated row brings its id and mark twice, with the same stretches.
     found = staged(repeated_stretches(docs), "repeats").dropDuplicates(["id", "mark"])
     texts = docs.select("doc_id", _id().alias("id"), _mark().alias("mark"), "text")
-    joined = texts.join(_sized(found), ["id", "mark"], "left").select("doc_id", "text", "starts")
+    joined = texts.join(_sized(found, "runs"), ["id", "mark"], "left").select("doc_id", "text", "runs")
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         data, offsets = bytes_of(batch.column(1))
         raw = data.tobytes()
         removed, spans, kept = [], [], []
-        for i, starts in enumerate(batch.column(2).to_pylist()):
+        for i, runs in enumerate(batch.column(2).to_pylist()):
             text = raw[offsets[i] : offsets[i + 1]]
-            runs = removed_runs(starts)
-            removed.append(sum(e - b for b, e in runs))
-            spans.append(len(runs))
-            edges = [0, *(x for r in runs for x in r), len(text)]
+            edges = [0, *(runs or ()), len(text)]
+            removed.append(sum(edges[2:-1:2]) - sum(edges[1:-1:2]))
+            spans.append(len(edges) // 2 - 1)
             kept.append(b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2])))
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets)), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
