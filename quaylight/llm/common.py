@@ -41,6 +41,13 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_staged(spark: SparkSession) -> None:
+    """Deletes what staged() has written under the session's folder; for when all results are stored elsewhere."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{checkpoint_root(spark)}/quaylight")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def worker_store(name: str) -> dict:
     """A dict that lives as long as the Python worker, shared by the tasks that run in it one after another."""
     module = sys.modules.get("_quaylight_worker")

@@ -2,9 +2,10 @@
 
 Texts with equal shingle sets are one node from the start. One permutation (the shingle hash) fills BINS bins with the
 smallest hash of each; an empty bin takes the value of the bin that its own sequence of hashed places meets first. Bands
-of ROWS bins name buckets. In each bucket a hub is compared with the others, on full sets; links make components. A
-bucket that still holds more than one component goes on with further hubs until none does, so no link inside a bucket
-is lost, and pairs stay linear in a bucket's size for each hub.
+of ROWS bins name buckets. In each bucket a star of candidate edges compares one hub, its most often met node, with the
+others, on full sets; links make components. What a star leaves open is closed exactly: every node outside of a bucket's
+largest component is compared with all nodes it shares a bucket with. That pass moves nodes, not pairs: nodes with one
+hub are a family, its open nodes go out in blocks, and the families they meet are streamed past each block.
 
 Two texts at the threshold share no bucket with probability (1 - 0.75 ** ROWS) ** BANDS = 5e-6.
 
@@ -29,10 +30,13 @@ BANDS = 32
 ROWS = 4
 BINS = BANDS * ROWS
 PERCENT = 75
+#: Open nodes of a block, and nodes that are streamed past one block by one task's group, on average.
+BLOCK = 256
+STREAM = 1024
 #: Members that share a copy of their hub's text in one task's group.
 SPREAD = 64
 #: Candidate ids up to this number are broadcast to the scan of the texts; beyond it both sides are shuffled.
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 200_000
 NO_ID = -(2**63)
 _SHIFT = np.uint64(64 - BINS.bit_length() + 1)
 _TRIES = 2048
@@ -143,6 +147,94 @@ def components(links: DataFrame, a: str = "hub", b: str = "node") -> DataFrame:
             return labels
 
 
+def _closed(starred: DataFrame, labels: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """The (hub, node) links between nodes of one bucket that are not in one component after the stars."""
+    # A node's family is its most met hub's, which again has a hub: two doublings follow that up to four steps.
+    family = staged(starred.groupBy("node").agg(F.max("hub").alias("hub")).select("node", F.col("hub.node").alias("family")), "families")
+    for _ in range(2):
+        above = family.select(F.col("node").alias("family"), F.col("family").alias("upper"))
+        family = family.join(above, "family").select("node", F.col("upper").alias("family"))
+    named = starred.select("bucket", "node").join(labels, "node", "left").join(family, "node").select("bucket", "node", "family", F.coalesce("label", "node").alias("label"))
+    parts = named.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("size"))
+    tops = parts.groupBy("bucket").agg(F.max(F.struct("size", "label")).alias("top"), F.count(F.lit(1)).alias("labels")).where("labels > 1").select("bucket", F.col("top.label").alias("top"))
+    rest = staged(named.join(tops, "bucket"), "open-buckets")
+    outside = rest.where("label <> top")
+    loose = staged(outside.select("family", "node").distinct(), "open-nodes")
+    meets = outside.select("bucket", "family").distinct().join(rest.select("bucket", F.col("family").alias("other")).distinct(), "bucket").select("family", "other").distinct()
+    members = rest.select(F.col("family").alias("other"), "node").distinct()
+    met = staged(meets.join(members, "other").select("family", "node").distinct(), "met-nodes")
+    deal = loose.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    deal = deal.join(met.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / STREAM).cast("int").alias("streams")), "family")
+    lot = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    blocks = loose.join(deal, "family").select("family", lot("blocks", 1).alias("block"), every("streams").alias("stream"), F.lit(0).alias("role"), "node")
+    streams = met.join(deal, "family").select("family", every("blocks").alias("block"), lot("streams", 2).alias("stream"), F.lit(1).alias("role"), "node")
+    dealt = blocks.unionByName(streams).join(texts, "node").select("family", "block", "stream", "role", "node", "text")
+    dealt = dealt.repartition("family", "block", "stream").sortWithinPartitions("family", "block", "stream", "role")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = _Block()
+        for batch in batches:
+            for part in cut(batch, 2 << 20):
+                hubs, nodes = [], []
+                for *key, role, node, s in zip(*(part.column(i).to_pylist() for i in range(5)), shingle_sets(part.column(5))):
+                    if key != held.key:
+                        held = _Block(key)
+                    if role == 0:
+                        held.add(node, s)
+                    else:
+                        for hub in held.near(s, percent):
+                            if hub != node:
+                                hubs.append(hub)
+                                nodes.append(node)
+                if hubs:
+                    yield pa.RecordBatch.from_arrays([pa.array(hubs, pa.int64()), pa.array(nodes, pa.int64())], names=["hub", "node"])
+
+    return dealt.mapInArrow(run, "hub long, node long").distinct()
+
+
+class _Block:
+    """The sets of a block's nodes as one sorted list of shingles with their owners."""
+
+    def __init__(self, key: list | None = None) -> None:
+        self.key = key
+        self.nodes: list[int] = []
+        self.sets: list[np.ndarray] = []
+        self.index: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
+
+    def add(self, node: int, s: np.ndarray) -> None:
+        self.nodes.append(node)
+        self.sets.append(s)
+
+    def near(self, s: np.ndarray, percent: int) -> list[int]:
+        """The block's nodes that are similar enough to s. Nodes are dealt by hash, so a block can be empty."""
+        if not self.sets:
+            return []
+        if self.index is None:
+            sizes = np.array([len(x) for x in self.sets])
+            every = np.concatenate(self.sets)
+            order = np.argsort(every, kind="stable")
+            self.index = every[order], np.repeat(np.arange(len(sizes)), sizes)[order], sizes
+        shingles, owners, sizes = self.index
+        lo, hi = np.searchsorted(shingles, s, "left"), np.searchsorted(shingles, s, "right")
+        runs = hi - lo
+        ends = np.cumsum(runs)
+        at = np.repeat(lo - ends + runs, runs) + np.arange(int(ends[-1]) if len(ends) else 0)
+        both = np.bincount(owners[at], minlength=len(sizes))
+        return [self.nodes[i] for i in np.flatnonzero(100 * both >= percent * (sizes + len(s) - both))]
+
+
+def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """node, label after further links, whose components are found on the labels so far."""
+    of = lambda name, to: labels.select(F.col("node").alias(name), F.col("label").alias(to))
+    ends = links.join(of("hub", "x"), "hub", "left").join(of("node", "y"), "node", "left").select(F.coalesce("x", "hub").alias("hub"), F.coalesce("y", "node").alias("node"))
+    merged = components(ends.where("hub <> node").distinct())
+    new = links.select("hub").unionByName(links.select(F.col("node").alias("hub"))).distinct().join(of("hub", "x"), "hub", "left_anti")
+    every = labels.unionByName(new.select(F.col("hub").alias("node"), F.col("hub").alias("label")))
+    names = merged.select(F.col("node").alias("label"), F.col("label").alias("lower"))
+    return staged(every.join(names, "label", "left").select("node", F.coalesce("lower", "label").alias("label")), "labels")
+
+
 def near_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row."""
     return _components_of(docs, percent).drop("mark")
@@ -155,8 +247,10 @@ def _components_of(docs: DataFrame, percent: int) -> DataFrame:
     classes = staged(classes.where("n > 0").withColumn("node", F.monotonically_increasing_id()), "classes")
     nodes = rows.where("n > 0").select("digest", ids.alias("id"), "bands").join(classes, "digest").where(F.col("id") == F.col("first"))
     buckets = nodes.select("node", "n", F.explode("bands").alias("bucket"))
-    hubs = buckets.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last").select("bucket", "hub")
-    shared = staged(buckets.join(hubs, "bucket").select("bucket", "node", "n", "hub"), "shared-buckets")
+    # A bucket with two nodes has different smallest and largest ones; copies of a node need no distinct().
+    several = buckets.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("held")).where("lo < hi").select("bucket", "held")
+    # Written first: a join of two plain exchanges can be split where one bucket is hot.
+    shared = staged(buckets.join(staged(several, "several"), "bucket").select("bucket", "node", "n", "held"), "shared-buckets")
 
     wanted = staged(shared.select("node").distinct().join(classes, "node").select("node", F.col("first").alias("id"), "digest"), "wanted")
     if wanted.count() <= BROADCAST_ROWS:
@@ -164,32 +258,15 @@ def _components_of(docs: DataFrame, percent: int) -> DataFrame:
     found = docs.select(ids.alias("id"), "text").join(wanted, "id").select("node", "digest", "text")
     texts = staged(_own_texts(found), "candidate-texts")
 
-    sizes = shared.select("node", "n").distinct()
-    pairs = shared.where("node <> hub").select("hub", "node", "n").distinct()
-    pairs = pairs.join(sizes.select(F.col("node").alias("hub"), F.col("n").alias("m")), "hub").where(_close("n", "m", percent)).select("hub", "node")
-    links = staged(verified(pairs, texts, percent), "links")
+    # The hub is the node that meets the most others: the likely original of a family of edited copies.
+    known = staged(shared.groupBy("node").agg(F.max("n").alias("n"), F.sum("held").alias("met")), "candidates")
+    hubs = shared.select("bucket", "node").join(known.select("node", "met"), "node").groupBy("bucket").agg(F.max(F.struct("met", "node")).alias("hub"))
+    starred = staged(shared.select("bucket", "node", "n").join(hubs, "bucket"), "stars")
+    sizes = known.select(F.col("node").alias("hub"), F.col("n").alias("m"))
+    pairs = starred.select(F.col("hub.node").alias("hub"), "node", "n").where("hub <> node").distinct().join(sizes, "hub")
+    links = staged(verified(pairs.where(_close("n", "m", percent)).select("hub", "node"), texts, percent), "links")
     labels = components(links)
-
-    left = shared.select("bucket", "node", "n")
-    while True:
-        named = left.join(labels, "node", "left").select("bucket", "node", "n", F.coalesce("label", "node").alias("label"))
-        open_ = named.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
-        left = staged(named.join(open_, "bucket", "left_semi"), "open-buckets")
-        if not left.limit(1).count():
-            break
-        # The smallest components' first nodes are the next hubs, at most four in a bucket.
-        parts = left.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("hub"))
-        lot = F.pmod(F.xxhash64("label"), F.lit(4))
-        least = parts.groupBy("bucket").agg(*[F.min(F.when(lot == k, F.struct("size", "label", "hub"))).alias(f"h{k}") for k in range(4)])
-        chosen = least.select("bucket", F.explode(F.array_compact(F.array(*[F.col(f"h{k}") for k in range(4)]))).alias("h")).select("bucket", F.col("h.hub").alias("hub"), F.col("h.label").alias("hub_label"))
-        chosen = staged(chosen, "hubs")
-        new = left.join(chosen, "bucket").where("label <> hub_label").select("hub", "node", "n").distinct()
-        new = new.join(sizes.select(F.col("node").alias("hub"), F.col("n").alias("m")), "hub").where(_close("n", "m", percent)).select("hub", "node")
-        more = staged(verified(new, texts, percent), "links")
-        if more.limit(1).count():
-            links = links.unionByName(more)
-            labels = components(links)
-        left = left.join(chosen.select("bucket", F.col("hub").alias("node")), ["bucket", "node"], "left_anti").select("bucket", "node", "n")
+    labels = _relabelled(labels, staged(_closed(starred, labels, texts, percent), "links"))
 
     named = classes.join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("label"), "rep")
     least = named.groupBy("label").agg(F.min("rep").alias("component"))
