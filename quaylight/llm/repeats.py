@@ -78,7 +78,7 @@ def segments(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     if n < WINDOW:
         return none
     grams = gram_hashes(data)
-    low = np.uint64((1 << max(1, int(len(grams)).bit_length())) - 1)
+    low = np.uint64((1 << 32) - 1)  # as many bits in every slice: equal windows choose alike everywhere
     keys = (grams & ~low) | np.arange(len(grams), dtype=np.uint64)  # the smaller hash, then the earlier place
     width = 1
     while 2 * width <= span:
@@ -213,7 +213,8 @@ def repeated_stretches(docs: DataFrame) -> DataFrame:
     rows = staged(indexed(docs).withColumn("uid", F.monotonically_increasing_id()), "segments")
     every = rows.select("uid", F.explode(F.arrays_zip("at", "a", "g")).alias("x")).select("uid", "x.at", "x.a", "x.g")
     shared = every.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a")
-    places = staged(every.join(shared, "a"), "shared-segments")
+    # Written first: a join of two plain exchanges can be split where one anchor is hot.
+    places = staged(every.join(staged(shared, "shared-anchors"), "a"), "shared-segments")
     kinds = staged(places.groupBy("a", "g").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("uid", "at")).alias("first")).select("a", "g", "n", "first.*"), "segment-kinds")
     # Where every kind of an anchor occurs twice, there is nothing to find out.
     told = kinds.join(kinds.groupBy("a").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least")), "a")
