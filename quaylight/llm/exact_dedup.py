@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaylight.llm.common import SPACE
+from quaylight.llm.common import SPACE, staged
 
 SALTS = 32
 
@@ -38,7 +38,8 @@ def combine(docs: DataFrame, salts: int = SALTS) -> DataFrame:
     then by (digest, salt, content), then by (digest, content)."""
     keyed = _keyed(docs)
     repeated = keyed.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest")
-    candidates = keyed.join(repeated, "digest", "left_semi")
+    # Written first: a join of two plain exchanges can be split where one digest is hot.
+    candidates = keyed.join(staged(repeated, "repeated-digests"), "digest", "left_semi")
     salted = candidates.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
     winners = salted.groupBy("digest", "salt", "content").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
     return (
@@ -68,18 +69,21 @@ def exact_groups(docs: DataFrame, salts: int = SALTS) -> DataFrame:
 def deduplicated(docs: DataFrame, salts: int = SALTS) -> DataFrame:
     """The rows of docs that stay, with all their columns. Rows that repeat a kept doc_id go as well: one row stays.
 
-    Dropped ids are anti-joined, so the rows of single texts (nearly all) need no class at all."""
-    groups = combine(docs, salts).select("digest", "content_hash", "keep_id")
-    columns = docs.columns
+    Which rows go is settled on narrow rows; the texts are then anti-joined once."""
+    key = ["id", "digest", "content_hash"]
     content = normalised()
-    keyed = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)], F.sha2(content, 256).alias("digest"), F.xxhash64(content, F.lit(1)).alias("content_hash"))
-    doc_id = f"c{columns.index('doc_id')}"
-    joined = keyed.join(groups.withColumn("in_class", F.lit(True)), ["digest", "content_hash"], "left")
-    single = joined.where(F.col("in_class").isNull())
-    first = joined.where(F.col("in_class") & F.col(doc_id).eqNullSafe(F.col("keep_id")))
-    once = first.dropDuplicates(["digest", "content_hash"])
-    back = lambda df: df.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)])
-    return back(single).unionByName(back(once))
+    names = (F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("id"), F.sha2(content, 256).alias("digest"), F.xxhash64(content, F.lit(1)).alias("content_hash"))
+    classes = staged(combine(docs, salts), "exact-classes")
+    members = docs.select(*names).join(classes, ["digest", "content_hash"])
+    counts = members.groupBy(*key).agg(F.count(F.lit(1)).alias("rows"), F.min(F.coalesce(F.col("keep_id").cast("string"), F.lit("null"))).alias("keep"))
+    gone = staged(counts.where("id <> keep OR rows > 1").withColumn("stays", F.expr("id = keep")).drop("rows", "keep"), "exact-gone")
+    columns = docs.columns
+    held = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)], *names)
+    kept = held.join(gone.select(*key), key, "left_anti")
+    repeated = gone.where("stays").select(*key)
+    if repeated.limit(1).count():
+        kept = kept.unionByName(held.join(repeated, key, "left_semi").dropDuplicates(key))
+    return kept.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)])
 
 
 ORACLE = r"""
