@@ -19,7 +19,7 @@ TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
+    """Documents that the quality rules reject go, and so do lines above their host's limit from the texts of the others."""
     return quality_rules.quality_filtered(docs)
 
 

@@ -4,7 +4,8 @@ Base rules look at one document; the line rule looks at its host (the source col
 white space runs to one space, trimmed) and hashed; a line's frequency is the number of distinct documents of the host
 that hold it, copies of one text counting once. A line above the host's limit is removed from every document but the
 first that holds it (smallest doc_id), so boilerplate keeps one bearer; a document that loses more than
-MAX_REMOVED_PERCENT of its words is depleted and rejected.
+MAX_REMOVED_PERCENT of its words is depleted and rejected. quality_report counts what is removed; quality_filtered
+returns the kept rows with the text of their surviving lines.
 
 Defined results: a null text has no words and fails the base rules, as does an empty one; a null source is a host of
 its own; every input row gives one row, repeated rows the same one each; an empty table gives no rows; only doc_id, text
@@ -25,6 +26,8 @@ WINDOW = 5
 MIN_DOCS = 20
 MAX_PERCENT = 10
 MAX_REMOVED_PERCENT = 70
+#: What a line needs to count as one; blank lines do not.
+MARKED = r"[^\x20\x09-\x0D]"
 
 
 def _repeat_words(wins: Column, pairs: Column, n: int) -> Column:
@@ -36,16 +39,19 @@ def _repeat_words(wins: Column, pairs: Column, n: int) -> Column:
     return F.aggregate(at, start, add, lambda acc: acc["total"])
 
 
+def line_hash(line: Column) -> Column:
+    return F.xxhash64(F.trim(F.regexp_replace(F.lower(line), SPACE, " ")))
+
+
 def facts(docs: DataFrame) -> DataFrame:
     """One row for each row of docs: the base counts and the hashes and words of its lines; the only pass over texts."""
     df = docs.select("doc_id", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")).alias("host"), F.coalesce("text", F.lit("")).alias("text"))
     df = df.withColumn("words", F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))
-    df = df.withColumn("lines", F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
+    df = df.withColumn("lines", F.filter(F.split("text", "\n"), lambda x: x.rlike(MARKED)))
     wins = F.transform("words", lambda _, i: F.xxhash64(F.slice("words", i + 1, WINDOW)))
     df = df.withColumn("wins", F.slice(wins, 1, F.greatest(F.size("words") - (WINDOW - 1), F.lit(0))))
     df = df.withColumn("twice", F.size(F.array_distinct("wins")) < F.size("wins"))
     df = df.withColumn("pairs", F.when(F.col("twice"), F.array_sort(F.transform("wins", lambda x, i: F.struct(x.alias("h"), i.alias("i"))))))
-    normal = lambda x: F.trim(F.regexp_replace(F.lower(x), SPACE, " "))
     return df.select(
         F.monotonically_increasing_id().alias("uid"),
         "doc_id",
@@ -56,7 +62,7 @@ def facts(docs: DataFrame) -> DataFrame:
         F.regexp_count("text", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.when(F.col("twice"), _repeat_words(F.col("wins"), F.col("pairs"), WINDOW)).otherwise(0).cast("long").alias("n_repeat_words"),
-        F.transform("lines", lambda x: F.struct(F.xxhash64(normal(x)).alias("h"), F.regexp_count(x, F.lit(WORD)).alias("w"))).alias("lines"),
+        F.transform("lines", lambda x: F.struct(line_hash(x).alias("h"), F.regexp_count(x, F.lit(WORD)).alias("w"))).alias("lines"),
     )
 
 
@@ -75,10 +81,11 @@ def frequent_lines(rows: DataFrame, min_docs: int = MIN_DOCS, max_percent: int =
 
 def quality_verdicts(docs: DataFrame, min_docs: int = MIN_DOCS, max_percent: int = MAX_PERCENT, max_removed: int = MAX_REMOVED_PERCENT) -> DataFrame:
     rows = staged(facts(docs), "quality-facts")
-    hot = frequent_lines(rows, min_docs, max_percent)
+    # Written first: a join of two plain exchanges can be split where one line is hot.
+    hot = staged(frequent_lines(rows, min_docs, max_percent), "hot-lines")
     lines = rows.select("uid", "host", "doc_id", "mark", F.explode("lines").alias("line")).select("uid", "host", "doc_id", "mark", F.col("line.h").alias("h"), F.col("line.w").alias("w"))
     own = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("mark") == F.col("first.mark"))
-    removed = lines.join(hot, ["host", "h"]).where(~own).groupBy("uid").agg(F.sum("w").alias("removed_words"), F.count(F.lit(1)).alias("removed_lines"))
+    removed = lines.join(hot, ["host", "h"]).where(~own).groupBy("uid").agg(F.sum("w").alias("removed_words"), F.count(F.lit(1)).alias("removed_lines"), F.collect_set("h").alias("cut"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     gone = F.coalesce("removed_words", F.lit(0)).cast("long")
     return rows.drop("lines").join(removed, "uid", "left").select(
@@ -87,26 +94,38 @@ def quality_verdicts(docs: DataFrame, min_docs: int = MIN_DOCS, max_percent: int
         (~failed & (100 * gone <= max_removed * F.col("n_words"))).alias("kept"),
         F.coalesce("removed_lines", F.lit(0)).cast("long").alias("n_removed_lines"),
         gone.alias("n_removed_words"),
+        "cut",
     )
 
 
 def quality_report(docs: DataFrame) -> DataFrame:
-    return quality_verdicts(docs).drop("uid", "host", "mark")
+    return quality_verdicts(docs).drop("uid", "host", "mark", "cut")
+
+
+def surviving(text: Column, cut: Column) -> Column:
+    """text without the lines whose hashes are in cut; the other lines, blank ones too, stay as they are."""
+    return F.array_join(F.filter(F.split(text, "\n"), lambda x: ~(x.rlike(MARKED) & F.array_contains(cut, line_hash(x)))), "\n")
 
 
 def quality_filtered(docs: DataFrame) -> DataFrame:
-    """The rows of docs that the rules keep, with all their columns.
+    """The rows of docs that the rules keep, with all their columns; removed lines are gone from text, and n_chars follows.
 
-    Rejected rows are the fewer, so they are anti-joined by id, host and content, in which a verdict is the same."""
+    Rejected and shortened rows are the fewer, so they are joined by id, host and content, in which a verdict is the same."""
     columns = docs.columns
-    gone = quality_verdicts(docs).where(~F.col("kept")).select(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("id"), "host", "mark").distinct()
+    verdicts = quality_verdicts(docs).where(~F.col("kept") | F.col("cut").isNotNull())
+    changed = verdicts.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("id"), "host", "mark", "kept", F.when(F.col("kept"), F.array_sort("cut")).alias("cut")).distinct()
     held = docs.select(
         *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)],
         F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("id"),
         F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")).alias("host"),
         F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"),
     )
-    kept = held.join(gone, ["id", "host", "mark"], "left_anti")
+    kept = held.join(changed, ["id", "host", "mark"], "left").where(F.coalesce("kept", F.lit(True)))
+    at = columns.index("text")
+    kept = kept.withColumn(f"c{at}", F.when(F.col("cut").isNotNull(), surviving(F.col(f"c{at}"), F.col("cut"))).otherwise(F.col(f"c{at}")))
+    if "n_chars" in columns:
+        n = f"c{columns.index('n_chars')}"
+        kept = kept.withColumn(n, F.when(F.col("cut").isNotNull(), F.length(f"c{at}").cast(docs.schema["n_chars"].dataType)).otherwise(F.col(n)))
     return kept.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)])
 
 

@@ -44,6 +44,18 @@ def test_frequent_lines_deplete_all_but_their_first_bearer(make, prose):
     assert quality_rules.quality_filtered(make(rows)).count() == 9
 
 
+def test_removed_lines_go_from_the_texts_but_their_first_bearers(make, prose):
+    banner = prose(12, 99)
+    # line endings, case and white space of a bearer may differ; blank lines and the order of the rest stay
+    texts = {i: f"{prose(30, i)}\n\n  {banner.upper()}\t\n{prose(8, 500 + i)}\n{banner}\n" for i in range(25)}
+    rows = [(i, t, "h") for i, t in texts.items()] + [(7, texts[7], "h"), (100, f"{banner}\n{prose(30, 100)}", "other"), (101, "short", "h")]
+    got = quality_rules.quality_filtered(make(rows)).collect()
+    assert sorted(r.doc_id for r in got) == sorted([*range(25), 7, 100])
+    for r in got:
+        want = {0: texts[0], 100: f"{banner}\n{prose(30, 100)}"}.get(r.doc_id, f"{prose(30, r.doc_id)}\n\n{prose(8, 500 + r.doc_id)}\n")
+        assert r.text == want and r.n_chars == len(want)
+
+
 def test_copies_of_one_text_are_one_document(make, prose):
     rows = [(i, prose(60, 5), "h") for i in range(40)] + [(50, prose(60, 5), "h")] * 3
     got = quality_rules.quality_report(make(rows)).collect()
