@@ -4,8 +4,9 @@ Base rules look at one document; the line rule looks at its host (the source col
 white space runs to one space, trimmed) and hashed; a line's frequency is the number of distinct documents of the host
 that hold it, copies of one text counting once. A line above the host's limit is removed from every document but the
 first that holds it (smallest doc_id), so boilerplate keeps one bearer; a document that loses more than
-MAX_REMOVED_PERCENT of its words is depleted and rejected. quality_report counts what is removed; quality_filtered
-returns the kept rows with the text of their surviving lines.
+MAX_REMOVED_PERCENT of its words is depleted and rejected. quality_report counts what is removed above
+both limits, MIN_DOCS documents and MAX_PERCENT of the host, as its SQL does; quality_filtered returns the kept rows
+with the text of their surviving lines, and there MIN_DOCS alone is the limit, the same for hosts of any size.
 
 Defined results: a null text has no words and fails the base rules, as does an empty one; a null source is a host of
 its own; every input row gives one row, repeated rows the same one each; an empty table gives no rows; only doc_id, text
@@ -70,7 +71,8 @@ def frequent_lines(rows: DataFrame, min_docs: int = MIN_DOCS, max_percent: int =
     """host, h, n_docs, first (doc_id, mark) of the lines above their host's limit.
 
     Counting by (host, line, content) first spreads a line that a third of the rows share; at most 100 / max_percent
-    times a document's mean line count lines of a host can be above its limit."""
+    times a document's mean line count lines of a host can be above its limit. A max_percent of 0 leaves min_docs as the
+    only limit, which does not grow with the host; the lines above it can then be as many as 1 / min_docs of all lines."""
     lines = rows.select("host", "mark", "doc_id", F.explode(F.array_distinct(F.col("lines.h"))).alias("h"))
     texts = lines.groupBy("host", "h", "mark").agg(F.min("doc_id").alias("doc_id"))
     counts = texts.groupBy("host", "h").agg(F.count(F.lit(1)).alias("n_docs"), F.min(F.struct("doc_id", "mark")).alias("first"))
@@ -107,12 +109,14 @@ def surviving(text: Column, cut: Column) -> Column:
     return F.array_join(F.filter(F.split(text, "\n"), lambda x: ~(x.rlike(MARKED) & F.array_contains(cut, line_hash(x)))), "\n")
 
 
-def quality_filtered(docs: DataFrame) -> DataFrame:
+def quality_filtered(docs: DataFrame, max_percent: int = 0) -> DataFrame:
     """The rows of docs that the rules keep, with all their columns; removed lines are gone from text, and n_chars follows.
 
+    Lines are removed above MIN_DOCS distinct documents of their host, however large it is; max_percent adds a share.
+
     Rejected and shortened rows are the fewer, so they are joined by id, host and content, in which a verdict is the same."""
     columns = docs.columns
-    verdicts = quality_verdicts(docs).where(~F.col("kept") | F.col("cut").isNotNull())
+    verdicts = quality_verdicts(docs, max_percent=max_percent).where(~F.col("kept") | F.col("cut").isNotNull())
     changed = verdicts.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("id"), "host", "mark", "kept", F.when(F.col("kept"), F.array_sort("cut")).alias("cut")).distinct()
     held = docs.select(
         *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)],

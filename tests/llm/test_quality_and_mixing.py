@@ -56,6 +56,14 @@ def test_removed_lines_go_from_the_texts_but_their_first_bearers(make, prose):
         assert r.text == want and r.n_chars == len(want)
 
 
+def test_the_filter_limit_does_not_grow_with_the_host(make, prose):
+    banner = prose(12, 5000)
+    rows = [(i, f"{prose(30, i)}\n{banner}" if i < 25 else prose(30, i), "hot") for i in range(300)]
+    rows += [(1000 + i, f"{prose(30, 1000 + i)}\n{banner}", "small") for i in range(20)]
+    got = {r.doc_id: r.text for r in quality_rules.quality_filtered(make(rows)).collect()}
+    assert len(got) == 320 and {i for i, t in got.items() if banner in t} == {0, *range(1000, 1020)}
+
+
 def test_copies_of_one_text_are_one_document(make, prose):
     rows = [(i, prose(60, 5), "h") for i in range(40)] + [(50, prose(60, 5), "h")] * 3
     got = quality_rules.quality_report(make(rows)).collect()
