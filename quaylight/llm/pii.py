@@ -5,7 +5,7 @@ by the gradient of its log-likelihood (forward-backward). Texts are decoded by V
 It adds names, street addresses and document numbers, which have no fixed form; what overlaps a pattern's span is left out.
 
 Defined results: a null text is an empty one and has no spans; offsets are code points, end exclusive; a sequence is a
-line, long lines in blocks of BLOCK words; every row gives one row, repeated ones too; an empty table gives no rows;
+whole line, however long; every row gives one row, repeated ones too; an empty table gives no rows;
 only doc_id and text are read.
 """
 
@@ -31,7 +31,8 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 KINDS = ("email", "ip", "card", "phone", "name", "address", "id")
 
 LABELS = ("O", "B-name", "I-name", "B-address", "I-address", "B-id", "I-id")
-BLOCK = 256
+#: Up to so many sequences, a step of the decoding takes all pairs of labels in one array.
+FEW = 128
 
 # The labelled table: marked spans are [kind words].
 SENTENCES = """
@@ -174,25 +175,34 @@ def viterbi(scores: np.ndarray, starts: np.ndarray, lengths: np.ndarray, move: n
     n_labels = len(move)
     labels = np.zeros(scores.shape[1], np.int8)
     order = np.argsort(-lengths, kind="stable")
-    first, length = starts[order], lengths[order]
-    best = [scores[k, first] for k in range(n_labels)]
+    first, longest = starts[order], int(lengths.max(initial=0))
+    alive = np.searchsorted(-lengths[order], -np.arange(longest))  # sequences longer than t come first
+    best = np.ascontiguousarray(scores[:, first])
     back = []
-    for t in range(1, int(length[0]) if len(length) else 0):
-        m = int(np.searchsorted(-length, -t))  # sequences longer than t come first
-        at, arg, new = first[:m] + t, np.zeros((n_labels, m), np.int8), []
-        for b in range(n_labels):
-            top = best[0][:m] + move[0, b]
-            for a in range(1, n_labels):
-                other = best[a][:m] + move[a, b]
-                better = other > top
-                arg[b][better] = a
-                np.maximum(top, other, out=top)
-            new.append(top + scores[b, at])
+    for t in range(1, longest):
+        m = int(alive[t])
+        at = first[:m] + t
+        if m <= FEW:
+            paths = best[:, None, :m] + move[:, :, None]
+            arg = paths.argmax(0).astype(np.int8)
+            best[:, :m] = paths.max(0) + scores[:, at]
+        else:
+            arg, new = np.zeros((n_labels, m), np.int8), []
+            for b in range(n_labels):
+                top = best[0, :m] + move[0, b]
+                for a in range(1, n_labels):
+                    other = best[a, :m] + move[a, b]
+                    better = other > top
+                    arg[b][better] = a
+                    np.maximum(top, other, out=top)
+                new.append(top + scores[b, at])
+            best[:, :m] = new
+        if t % 64 == 0:  # sums of long lines would outgrow their precision
+            best[:, :m] -= best[:, :m].max(0)
         back.append(arg)
-        best = [np.concatenate([x, y[m:]]) for x, y in zip(new, best)]
-    now = np.argmax(np.stack(best), axis=0) if len(length) else np.zeros(0, int)
-    for t in range(len(back), -1, -1):
-        m = int(np.searchsorted(-length, -t))
+    now = best.argmax(0)
+    for t in range(longest - 1, -1, -1):
+        m = int(alive[t])
         labels[first[:m] + t] = now[:m]
         if t:
             now[:m] = back[t - 1][now[:m], np.arange(m)]
@@ -314,7 +324,7 @@ def added_spans(texts: list[str], field: Field) -> list[list[Span]]:
         for line in text.encode().split(b"\n"):
             found = line.split()
             words += found
-            lines += [min(BLOCK, len(found) - k) for k in range(0, len(found), BLOCK)]
+            lines += [len(found)] if found else []
         sizes.append(len(words) - n)
     out: list[list[Span]] = [[] for _ in texts]
     if not words:

@@ -174,6 +174,37 @@ def test_viterbi_equals_the_best_path(crf):
         assert value(tuple(got[s : s + m])) == pytest.approx(value(best), abs=1e-4)
 
 
+def test_long_lines_are_decoded_whole(crf, prose):
+    parts = ["Dear Dr. Thomas Berger, thank you", "My SSN is 412-55-9087 today", "She lives at 77 Birch Street in town"]
+    alone = [[(k, t[a:b]) for k, a, b in spans] for t, (_, spans) in zip(parts, pii.find(parts, crf))]
+    assert [x for x in alone if x] == [[("name", "Thomas Berger")], [("id", "412-55-9087")], [("address", "77 Birch Street")]]
+    for at in (256, 512):
+        for part, want in zip(parts, alone):
+            for k in range(1, len(part.split())):  # the line's word number at is the part's k-th
+                text = f"{prose(at - k, 1)} {part} {prose(300, 2)}"
+                found = [(kind, text[a:b]) for kind, a, b in pii.find([text], crf)[0][1]]
+                assert [x for x in found if x[0] in ("name", "id", "address")] == want, (at, k)
+
+
+def test_viterbi_of_long_and_many_sequences(crf):
+    rng = np.random.default_rng(3)
+    lengths = np.array([*rng.integers(1, 40, 300), 5000, 700])
+    scores = (rng.normal(size=(len(crf.move), lengths.sum())) + 5).astype(np.float32)
+    starts = np.cumsum(lengths) - lengths
+    got = pii.viterbi(scores, starts, lengths, crf.move)
+    for s, m in zip(starts, lengths):
+        best, back = scores[:, s].astype(float), []
+        for t in range(1, m):
+            paths = best[:, None] + crf.move
+            back.append(paths.argmax(0))
+            best = paths.max(0) + scores[:, s + t]
+        path = [int(best.argmax())]
+        for arg in reversed(back):
+            path.append(int(arg[path[-1]]))
+        assert list(got[s : s + m]) == path[::-1]
+    assert len(pii.viterbi(scores[:, :0], starts[:0], lengths[:0], crf.move)) == 0
+
+
 def test_pii_table(make):
     texts = [None, "", "x@y.z 10.0.0.1\n+1 555 010 0199", "4111111111111111"]
     got = {r.doc_id: (r.n_email, r.n_ip, r.n_card, r.n_phone, r.spans) for r in pii.find_pii(make(texts)).collect()}
