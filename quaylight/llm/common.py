@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+import tempfile
 import types
 import uuid
 from collections.abc import Callable, Iterator
@@ -25,29 +26,93 @@ def table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFram
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bits of a key filter; a filter has at most 2 ** (FILTER_BITS - 6) rows of two longs, which bounds its broadcast.
+FILTER_BITS = 26
+#: False positives of a filter up to this number are broadcast; beyond it both sides of their join are shuffled.
+DOUBTFUL = 200_000
+#: Keys with more than this part of all rows are hot; there are at most so many of them.
+HOT_PARTS = 1000
+
+
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; only where it names none (tests), one of our own."""
+    """The shared folder that the cluster names; a folder of one machine only where the whole session is on one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
-        root = "/tmp/quaylight-checkpoints"
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = f"{tempfile.gettempdir()}/checkpoints"
     return root.rstrip("/")
 
 
+def run_folder(spark: SparkSession) -> str:
+    """Where this application's stages are: no other session's are below it."""
+    return f"{checkpoint_root(spark)}/quaylight/{spark.sparkContext.applicationId}"
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read again: cuts the lineage, survives lost executors, computed once."""
     spark = df.sparkSession
-    path = f"{checkpoint_root(spark)}/quaylight/{name}-{uuid.uuid4().hex}"
+    path = f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_staged(spark: SparkSession) -> None:
-    """Deletes what staged() has written under the session's folder; for when all results are stored elsewhere."""
+    """Deletes what staged() has written in this application; for when all results are stored elsewhere."""
     jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{checkpoint_root(spark)}/quaylight")
+    path = jvm.org.apache.hadoop.fs.Path(run_folder(spark))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def _word(key: str) -> Column:
+    return F.shiftright(F.col(key).bitwiseAND((1 << FILTER_BITS) - 1), 6)
+
+
+def _bit(key: str) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), F.col(key).bitwiseAND(63).cast("int"))
+
+
+def key_filter(keys: DataFrame, key: str) -> DataFrame:
+    """A bitmap of the 64-bit hashes in column key: few rows whatever the number of keys, so it can be broadcast."""
+    return staged(keys.groupBy(_word(key).alias("_word")).agg(F.bit_or(_bit(key)).alias("_bits")), "key-filter")
+
+
+def maybe(df: DataFrame, bits: DataFrame, key: str, name: str) -> DataFrame:
+    """df with the boolean column name: false only where no key of the filter has the hash in column key."""
+    joined = df.join(F.broadcast(bits), _word(key) == F.col("_word"), "left")
+    return joined.withColumn(name, F.coalesce(F.col("_bits").bitwiseAND(_bit(key)) != 0, F.lit(False))).drop("_word", "_bits")
+
+
+def without_rows(df: DataFrame, every: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of df (wide) whose keys are not in gone, exactly, without a shuffle of the texts.
+
+    every has the keys of all rows of df and gone those to leave out (both narrow, written; no key is null). A row that
+    the filter of gone does not hit stays. Rows that it hits wrongly are found on the narrow tables; those few are
+    named to the scan of df by a broadcast of checked size, or joined by key where they are more."""
+    hashed = lambda t: t.withColumn("_h", F.xxhash64(*keys))
+    bits = key_filter(hashed(gone), "_h")
+    hit = maybe(hashed(every), bits, "_h", "_hit").where("_hit").select(*keys).distinct()
+    wrongly = staged(hit.join(gone.select(*keys), keys, "left_anti"), "wrongly-hit")
+    scanned = maybe(hashed(df), bits, "_h", "_hit")
+    if wrongly.count() <= DOUBTFUL:
+        few = F.broadcast(wrongly.withColumn("_stays", F.lit(True)))
+        return scanned.join(few, keys, "left").where("NOT _hit OR _stays").drop("_h", "_hit", "_stays")
+    second = key_filter(hashed(wrongly), "_h")
+    doubtful = maybe(scanned.where("_hit"), second, "_h", "_again").where("_again").drop("_again")
+    return scanned.where("NOT _hit").unionByName(doubtful.join(wrongly, keys, "left_semi")).drop("_h", "_hit")
+
+
+def join_uneven(rows: DataFrame, table: DataFrame, keys: list[str], weight: str, how: str = "inner") -> DataFrame:
+    """rows joined with table (unique keys; weight: the number of rows with the key) where a key may hold most rows.
+
+    Keys with more than one HOT_PARTS-th of the weights are at most HOT_PARTS and are broadcast; the others are joined
+    by a shuffle that has no hot key left. how is inner or left; both inputs should be written tables."""
+    total = table.agg(F.sum(weight)).first()[0] or 0
+    hot = F.broadcast(table.where(F.col(weight) * HOT_PARTS > total))
+    cold = table.where(F.col(weight) * HOT_PARTS <= total)
+    return rows.join(hot, keys).unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(cold, keys, how))
+
+
 def worker_store(name: str) -> dict:
     """A dict that lives as long as the Python worker, shared by the tasks that run in it one after another."""
     module = sys.modules.get("_quaylight_worker")
@@ -78,7 +143,7 @@ def cut(batch: pa.RecordBatch, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]
         return
     widths = np.zeros(n, np.int64)
     for column in batch.columns:
-        if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+        if any(test(column.type) for test in (pa.types.is_string, pa.types.is_binary, pa.types.is_large_string, pa.types.is_large_binary)):
             widths += np.diff(offsets_of(column))
         else:
             widths += 8
@@ -92,13 +157,15 @@ def cut(batch: pa.RecordBatch, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]
 def offsets_of(column: pa.Array) -> np.ndarray:
     if len(column) == 0:
         return np.zeros(1, np.int64)
-    return np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, column.offset * 4).astype(np.int64)
+    large = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
+    kind, width = (np.int64, 8) if large else (np.int32, 4)
+    return np.frombuffer(column.buffers()[1], kind, len(column) + 1, column.offset * width).astype(np.int64)
 
 
 def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column without copies; a null is an empty text."""
     if column.null_count:
-        column = column.fill_null("" if pa.types.is_string(column.type) else b"")
+        column = column.fill_null("" if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) else b"")
     offsets = offsets_of(column)
     data = column.buffers()[2] if len(column) else None
     raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
