@@ -64,10 +64,46 @@ def test_the_filter_limit_does_not_grow_with_the_host(make, prose):
     assert len(got) == 320 and {i for i, t in got.items() if banner in t} == {0, *range(1000, 1020)}
 
 
-def test_copies_of_one_text_are_one_document(make, prose):
+def test_copies_are_documents_in_the_report_and_one_text_in_the_filter(make, prose):
     rows = [(i, prose(60, 5), "h") for i in range(40)] + [(50, prose(60, 5), "h")] * 3
     got = quality_rules.quality_report(make(rows)).collect()
-    assert len(got) == 43 and all(r.kept for r in got)
+    assert len(got) == 43 and {r.doc_id for r in got if r.kept} == {0}
+    assert quality_rules.quality_filtered(make(rows)).count() == 43
+
+
+def test_repeated_rows_and_rows_without_id_are_one_document(make, prose):
+    rows = [(7, f"{prose(12, 1)}\n{prose(30, 2)}", "h")] * 30 + [(None, f"{prose(12, 1)}\n{prose(30, 100 + k)}", "h") for k in range(30)]
+    assert all(r.kept and not r.n_removed_lines for r in quality_rules.quality_report(make(rows)).collect())
+
+
+def test_the_report_limit_stops_growing_with_the_host(make, prose, spark):
+    # 210 of 2,500 documents are under 10 %, but above MAX_DOCS
+    rows = [(i, f"{prose(30, i)}\nsame line" if i < 210 else f"{prose(12, i)}\n{prose(9, 10_000 + i)}", "hot") for i in range(2500)]
+    got = {r.doc_id: r.n_removed_lines for r in quality_rules.quality_report(make(rows)).collect()}
+    assert {i for i, n in got.items() if n} == set(range(1, 210))
+
+
+def test_lines_against_brute_force_under_a_hot_host(make, prose):
+    import random
+
+    rng = random.Random(4)
+    shared = [prose(6, 900 + k) for k in range(40)]
+    rows = []
+    for i in range(400):
+        own = [prose(12, i)] + [shared[min(int(rng.expovariate(0.15)), 39)] for _ in range(rng.randint(0, 4))]
+        rows.append((i, "\n".join(own), "hot" if i % 3 else f"s{i % 7}"))
+    held = {}
+    for i, t, s in rows:
+        for x in set(t.split("\n")):
+            held.setdefault((s, x), set()).add(i)
+    hosts = {s: sum(r[2] == s for r in rows) for _, _, s in rows}
+    got = {r.doc_id: (r.n_removed_lines, r.n_removed_words) for r in quality_rules.quality_report(make(rows)).collect()}
+    out = 0
+    for i, t, s in rows:
+        gone = [x for x in t.split("\n") if len(held[s, x]) > 20 and 100 * len(held[s, x]) > min(10 * hosts[s], 20_000) and min(held[s, x]) != i]
+        assert got[i] == (len(gone), sum(len(x.split()) for x in gone))
+        out += len(gone)
+    assert out > 100
 
 
 def test_filter_keeps_columns_and_rows(make, prose, spark):
@@ -134,6 +170,50 @@ def test_exact_groups(make, prose):
     assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
 
 
+def test_exact_groups_when_digests_collide(make, prose):
+    """With a digest of 4 values every stage has to tell contents apart by the contents themselves."""
+    rows = [(i, prose(3 + i % 5, i % 17), f"s{i % 2}") for i in range(120)] + [(None, None, "s0"), (500, "", "s0")]
+    poor = lambda c: F.substring(F.sha2(c, 256), 1, 1)
+    want = sorted(map(tuple, exact_dedup.exact_groups(make(rows)).collect()), key=repr)
+    for salts in (1, 5):
+        assert sorted(map(tuple, exact_dedup.exact_groups(make(rows), salts, poor).collect()), key=repr) == want
+
+
+def test_a_hot_digest_is_combined_in_salts_without_broadcast_joins(make, prose, spark):
+    rows = [(i, prose(40, 5000) if i % 3 == 0 else prose(40, i), "s") for i in range(900)]
+    docs = make(rows).repartition(16)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = exact_dedup.exact_groups(docs).collect()
+        named = exact_dedup.named_rows(docs)
+        plan = exact_dedup.combine(docs, exact_dedup.repeated_digests(named))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert len(got) == 900 and {r.group_size for r in got} == {1, 300} and sum(r.kept for r in got) == 601
+    exchanges = [x for x in plan.split("\n") if "Exchange hashpartitioning" in x]
+    assert len(exchanges) == 2 and sum("salt" in x for x in exchanges) == 1, plan
+
+
+def test_deduplicated_moves_no_text(make, prose, spark):
+    docs = make([(i, prose(30, i % 50), f"s{i % 3}") for i in range(200)])
+    plan = exact_dedup.deduplicated(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan
+
+
+def test_rows_left_out_by_filter_and_exact_join(spark, monkeypatch):
+    """Filters of 128 bits hit nearly every key; what they hit wrongly has to stay, by either way."""
+    from quaylight.llm import common
+
+    monkeypatch.setattr(common, "FILTER_BITS", 7)
+    every = spark.range(400).withColumn("k", F.concat(F.lit("k"), F.col("id") % 350))
+    gone = every.where("id % 5 = 0").select("id", "k")
+    for most in (10**6, 0):
+        monkeypatch.setattr(common, "DOUBTFUL", most)
+        got = common.without_rows(every.withColumn("wide", F.lit("x")), every, gone, ["id", "k"])
+        assert got.columns == ["id", "k", "wide"] and sorted(r.id for r in got.collect()) == [i for i in range(400) if i % 5]
+
+
 def test_deduplicated_keeps_one_row_and_its_columns(make):
     docs = make([(5, "x y", "a"), (2, "x  y", "b"), (2, "x y", "b"), (7, "z", "a"), (None, "q", "a"), (None, None, "a"), (3, "", "b")]).withColumn("digest", F.lit(0)).withColumn("content", F.lit("c"))
     out = exact_dedup.deduplicated(docs)
