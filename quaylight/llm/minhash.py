@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quaylight.llm.common import cut, map_batches, staged
+from quaylight.llm.common import cut, map_batches, staged, without_rows
 from quaylight.llm.shingles import digest, mixed, shingle_sets
 
 BANDS = 32
@@ -288,9 +288,9 @@ def _own_texts(found: DataFrame) -> DataFrame:
 
 def deduplicated(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The rows of docs that stay, with all their columns: one document of each component, and texts without words."""
-    ids = F.coalesce("doc_id", F.lit(NO_ID))
-    gone = _components_of(docs, percent).where(~F.col("kept")).select(ids.alias("id"), "mark").distinct()
-    columns = docs.columns
-    held = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)], ids.alias("id"), _mark().alias("mark"))
-    kept = held.join(gone, ["id", "mark"], "left_anti")
-    return kept.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)])
+    columns, key = docs.columns, ["_id", "_mark"]
+    ids = F.coalesce("doc_id", F.lit(NO_ID)).alias("_id")
+    every = staged(_components_of(docs, percent).select(ids, F.col("mark").alias("_mark"), "kept"), "near-verdicts")
+    gone = staged(every.where("NOT kept").select(*key).distinct(), "near-gone")
+    held = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)], ids, _mark().alias("_mark"))
+    return without_rows(held, every.select(*key), gone, key).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)])
