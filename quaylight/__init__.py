@@ -1 +1,7 @@
-"""Quaylight: order-by-order market-data analytics on Spark."""
+"""Order-by-order market data on Spark. Functions of this package travel with the plan, so executors need no copy of it."""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

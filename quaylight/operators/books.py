@@ -1,7 +1,9 @@
-"""Limit order books from an ordered feed: a keyed fold, and the relations read off it.
+"""Limit order books: relations read off the outcomes of a feed (lifecycle), and the books as a state machine.
 
-A book depends on the order of its events, so each channel is folded by one task, as a stream over sorted rows: a task
-holds live orders and levels, never the channel's events. Everything after the fold is built from column expressions.
+Levels, tape and counters are column expressions over the outcomes. Published images need the visible levels after each
+event: images() walks a symbol's changes in stretches of SEGMENT sequence numbers, each from the levels that the sums of
+all changes before it give, so that a hot symbol is many tasks. Books is the same as a machine of one channel, for
+streams (streaming.stateful) and for feeds that need it (lifecycle.outcomes); fold() runs it over sorted rows.
 
 Defined behaviour where feeds are broken: ids below 1 and rows without what their type needs are dropped as bad_event;
 a repeated Add keeps the first quantity on the ladder and the last in the order table; a removal that a level cannot
@@ -21,12 +23,13 @@ from pyspark.sql import functions as F
 
 from quaylight import schema as S
 from quaylight.functions.market import crossed, mid
+from quaylight.operators.running import checkpointed, running
 
 
 class Ladder:
     """One side of a book: levels by price and their prices in order, best first."""
 
-    __slots__ = ("sign", "levels", "keys", "top", "depth")
+    __slots__ = ("sign", "levels", "keys", "top", "depth", "moved")
 
     def __init__(self, side: str, depth: int) -> None:
         self.sign = -1 if side == "B" else 1
@@ -34,10 +37,12 @@ class Ladder:
         self.keys: list[int] = []
         self.top: list[int] | None = []
         self.depth = depth
+        self.moved = False  # whether a visible level was touched
 
     def _touch(self, place: int) -> None:
         if place < self.depth:
             self.top = None
+            self.moved = True
 
     def add(self, price: int, quantity: int, orders: int = 1) -> None:
         key = self.sign * price
@@ -50,11 +55,27 @@ class Ladder:
             level[1] += orders
         self._touch(bisect_left(self.keys, key))
 
+    def cut(self, price: int, quantity: int, orders: int) -> None:
+        """A removal that is known to be sound."""
+        key = self.sign * price
+        level = self.levels[key]
+        level[0] -= quantity
+        level[1] -= orders
+        place = bisect_left(self.keys, key)
+        self._touch(place)
+        if level[1] == 0:
+            del self.levels[key]
+            del self.keys[place]
+
     def take(self, price: int, quantity: int, orders: int) -> bool:
+        return self.taken(price, quantity, orders)[0]
+
+    def taken(self, price: int, quantity: int, orders: int) -> tuple[bool, tuple | tuple[int, int, int]]:
+        """Whether the level could bear it, and what it lost: nothing, or all that was left where it could not."""
         key = self.sign * price
         level = self.levels.get(key)
         if level is None or level[0] < quantity or level[1] < orders:
-            return False
+            return False, (None, None, None)
         level[0] -= quantity
         level[1] -= orders
         place = bisect_left(self.keys, key)
@@ -64,7 +85,7 @@ class Ladder:
         if empty or not sound:
             del self.levels[key]
             del self.keys[place]
-        return sound
+        return sound, (price, -quantity, -orders) if sound else (price, -quantity - level[0], -orders - level[1])
 
     def best(self) -> list[int]:
         """price, quantity, orders of the visible levels, one after another."""
@@ -129,14 +150,14 @@ class Books:
             self.books[symbol] = Book(self.depth)
         return self.books[symbol]
 
-    def apply(self, kind: str, symbol: str | None, order_id: int | None, aux_id: int | None, side: str | None, quantity: int | None, price: int | None, code: str | None) -> Iterator[tuple]:
+    def apply(self, kind: str, symbol: str | None, order_id: int | None, aux_id: int | None, side: str | None, quantity: int | None, price: int | None, code: str | None, unlisted: bool = False) -> Iterator[tuple]:
         """status, symbol, order id, side, (price, dq, dn) twice, (trade price, quantity, match), corrupt, image."""
         none3 = (None, None, None)
         if kind == S.ADD:
             if not order_id or order_id < 1 or side not in ("B", "S") or quantity is None or price is None:
                 yield "bad_event", symbol, order_id, side, none3, none3, none3, 0, None
                 return
-            book = self.book(symbol)
+            book = None if unlisted else self.book(symbol)
             if book is None:
                 yield "unknown_symbol", symbol, order_id, side, none3, none3, none3, 0, None
                 return
@@ -161,7 +182,7 @@ class Books:
             if born != self.epoch and not self.strict:
                 yield "lost_order", symbol, order_id, side, none3, none3, trade, 0, None
                 return
-            sound = book.sides[side].take(at, taken, int(whole))
+            sound, first = book.sides[side].taken(at, taken, int(whole))
             book.updates += sound
             second = none3
             if kind == S.REPLACE:
@@ -169,10 +190,9 @@ class Books:
                 book.updates += 1
                 self.orders[aux_id] = [symbol, side, price, quantity, self.epoch]
                 second = (price, quantity, 1)
-            first = (at, -taken, -int(whole)) if sound else none3
             yield "applied", symbol, order_id, side, first, second, trade, int(not sound), book.image()
         elif kind == S.TRADE:
-            known = self.book(symbol) is not None
+            known = not unlisted and symbol is not None and (self.symbols is None or symbol in self.symbols)
             yield ("trade" if known else "unknown_symbol"), symbol, None, side, none3, none3, (price, quantity, aux_id) if known else none3, 0, None
         elif (kind == S.SYSTEM and code in ("M", "C")) or kind == S.LOSS:
             if kind == S.LOSS:
@@ -196,8 +216,9 @@ _WANTED = ["channel", "sequence", "exchange_ns", "ingest_ns", "msg_type", "symbo
 _TYPES = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "array<long>": pa.list_(pa.int64())}
 
 
-def rows_of(books: Books, head: tuple, event: tuple) -> Iterable[tuple]:
-    for status, symbol, oid, side, first, second, trade, corrupt, image in books.apply(*event):
+def rows_of(books: Books, head: tuple, event: tuple, unlisted: bool = False) -> Iterable[tuple]:
+    """The rows of one event; unlisted: its symbol is not in the security master."""
+    for status, symbol, oid, side, first, second, trade, corrupt, image in books.apply(*event, unlisted):
         yield (*head, status, symbol, oid, side, *first, *second, *trade, corrupt, *(image or (None, None, None, None, None)))
 
 
@@ -207,18 +228,33 @@ def as_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, _TYPES[k]) for c, k in zip(columns, kinds)], names=_NAMES)
 
 
-def fold(feed: DataFrame, symbols: Iterable[str] | None = None, depth: int = S.DEPTH, strict: bool = False) -> DataFrame:
-    """OUTCOME rows of a feed. symbols: the security master (a day's list of instruments, small); None knows all."""
-    master = None if symbols is None else frozenset(symbols)
+def fold(feed: DataFrame, instruments: DataFrame | None = None, depth: int = S.DEPTH, strict: bool = False) -> DataFrame:
+    """OUTCOME rows of a feed by the machine, a channel a task. instruments: the security master; None knows all. Its
+    symbols come with their channel's events, so no task holds the whole of it."""
+    named = feed.select(*_WANTED)
+    if instruments is None:
+        rows = named.withColumn("known", F.col("symbol").isNotNull()).withColumn("names", F.lit(None).cast("array<string>"))
+    else:
+        listed = instruments.select("symbol").distinct().withColumn("known", F.lit(True))
+        rows = named.join(listed, "symbol", "left").withColumn("known", F.coalesce("known", F.lit(False)))
+        if "channel" in instruments.columns:
+            names = instruments.groupBy("channel").agg(F.array_sort(F.collect_set("symbol")).alias("names"))
+            rows = rows.join(names, "channel", "left").withColumn("names", F.when(F.col("msg_type").isin(S.LOSS, S.SYSTEM), F.col("names")))
+        else:
+            rows = rows.withColumn("names", F.lit(None).cast("array<string>"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         channel, books = None, None
         rows: list[tuple] = []
         for batch in batches:
-            for c, seq, ex, ing, kind, symbol, oid, aux, side, quantity, price, code in zip(*(x.to_pylist() for x in batch.columns)):
+            for c, seq, ex, ing, kind, symbol, oid, aux, side, quantity, price, code, known, names in zip(*(x.to_pylist() for x in batch.columns)):
                 if books is None or c != channel:
-                    channel, books = c, Books(master, depth, strict)
-                rows += rows_of(books, (c, seq, ex, ing, kind), (kind, symbol, oid, aux, side, quantity, price, code))
+                    channel, books = c, Books(None, depth, strict)
+                if names:
+                    for name in names:
+                        books.book(name)
+                unlisted = kind in (S.ADD, S.TRADE) and not known
+                rows += rows_of(books, (c, seq, ex, ing, kind), (kind, symbol, oid, aux, side, quantity, price, code), unlisted)
                 if len(rows) >= 20_000:
                     yield as_batch(rows)
                     rows = []
@@ -226,18 +262,10 @@ def fold(feed: DataFrame, symbols: Iterable[str] | None = None, depth: int = S.D
             yield as_batch(rows)
 
     # A loss row shares the sequence of the first message after it and goes first.
-    dealt = feed.select(*_WANTED).repartition("channel").sortWithinPartitions("channel", "sequence", F.col("msg_type") != S.LOSS)
+    dealt = rows.select(*_WANTED, "known", "names").repartition("channel").sortWithinPartitions("channel", "sequence", F.col("msg_type") != S.LOSS)
     return dealt.mapInArrow(run, OUTCOME)
 
 
-def master(instruments: DataFrame, limit: int = 1_000_000) -> list[str]:
-    """The symbols of a security master, whose size is checked before it goes to the tasks."""
-    names = [r[0] for r in instruments.select("symbol").distinct().limit(limit + 1).collect()]
-    if len(names) > limit:
-        raise ValueError(f"more than {limit} instruments: fold with symbols=None and join the outcome instead")
-    return names
-
-
 def level_deltas(outcome: DataFrame) -> DataFrame:
     """channel, sequence, symbol, side, price, dq, dn, part: every change of a level, a replace's removal first."""
     one = F.struct(F.col("price"), F.col("dq"), F.col("dn"), F.lit(0).alias("part"))
@@ -289,15 +317,149 @@ def _structs(flat: str) -> Column:
     return F.when(n > 0, each).otherwise(F.slice(F.transform(F.array(F.lit(0).cast("long")), lambda x: F.struct(x.alias("price"), x.alias("quantity"), x.alias("order_count"))), 1, 0))
 
 
-def images(outcome: DataFrame) -> DataFrame:
-    """Published images: only what a subscriber could tell from the one before."""
-    return outcome.where("version IS NOT NULL").select(
-        "channel", "symbol", "version", "sequence", "exchange_ns", "ingest_ns", "update_count",
-        (F.size("bids") / 3).cast("int").alias("bid_levels"), (F.size("asks") / 3).cast("int").alias("ask_levels"),
-        "flags", _structs("bids").alias("bids"), _structs("asks").alias("asks"),
+#: Changes of a symbol that one stretch has.
+SEGMENT = 1 << 14
+
+
+def images(outcome: DataFrame, segment: int = SEGMENT, depth: int = S.DEPTH) -> DataFrame:
+    """Published images of outcomes: only what a subscriber could tell from the one before, and forced ones.
+
+    A symbol's changes are cut into stretches by their number. What rests at a stretch's begin is the sum of all changes
+    before (since the last loss), per level; versions and update counts are moved on by the totals of those before."""
+    key = ["channel", "symbol"]
+    live = outcome.where("status = 'applied' AND (price IS NOT NULL OR price2 IS NOT NULL) OR status IN ('stale', 'halted')")
+    kind = F.when(F.col("status") == "stale", 1).when(F.col("status") == "halted", 2).otherwise(0)
+    rows = live.select(*key, "sequence", (kind == 0).cast("int").alias("late"), kind.alias("kind"), "side", "price", "dq", "dn", "price2", "dq2", "dn2", "corrupt", "exchange_ns", "ingest_ns")
+    rows = checkpointed(running(rows, "nth", key, ["sequence", "late", "kind"], F.lit(1)).withColumn("seg", F.floor((F.col("nth") - 1) / segment)).drop("nth"))
+    cut = rows.withColumn("role", F.lit(1))
+    if rows.where("seg > 0").limit(1).count():
+        cut = cut.unionByName(_bases(rows, key), allowMissingColumns=True)
+    walked = checkpointed(_dealt(cut, depth))
+    totals = walked.where("role = 0")
+    before = Window.partitionBy(*key).orderBy("seg").rowsBetween(Window.unboundedPreceding, -1)
+    total = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
+    totals = totals.select(*key, "seg", total("version").alias("v0"), total("update_count").alias("u0"))
+    shown = walked.where("role = 1").join(totals, [*key, "seg"])
+    return shown.select(
+        *key, (F.col("version") + F.col("v0")).alias("version"), "sequence", "exchange_ns", "ingest_ns", (F.col("update_count") + F.col("u0")).alias("update_count"),
+        (F.size("bids") / 3).cast("int").alias("bid_levels"), (F.size("asks") / 3).cast("int").alias("ask_levels"), "flags", _structs("bids").alias("bids"), _structs("asks").alias("asks"),
     )
 
 
+def _bases(rows: DataFrame, key: list[str]) -> DataFrame:
+    """Rows of role 0: the levels (kind -1) and the flags (kind) at the begin of each stretch but a symbol's first."""
+    at = F.struct("sequence", F.col("late"))
+    spans = checkpointed(rows.groupBy(*key, "seg").agg(F.max(F.when(F.col("kind") == 1, at)).alias("cleared"), F.max(F.when(F.col("kind") > 0, F.struct("sequence", "late", "kind"))).alias("mark")))
+    before = Window.partitionBy(*key).orderBy("seg").rowsBetween(Window.unboundedPreceding, -1)
+    flags = spans.select(*key, "seg", F.coalesce(F.last("mark.kind", ignorenulls=True).over(before), F.lit(0)).alias("kind")).where("seg > 0")
+    last = spans.groupBy(*key).agg(F.max("seg").alias("last"), F.array_sort(F.collect_set(F.when(F.col("cleared").isNotNull(), F.col("seg")))).alias("losses"))
+    # Symbols of one stretch need no levels; changes before a loss of their stretch are not in what it leaves.
+    long = last.where("last > 0")
+    changes = rows.where("kind = 0").join(long, key).join(spans.where("cleared IS NOT NULL").select(*key, "seg", "cleared"), [*key, "seg"], "left").where(F.col("cleared").isNull() | (at > F.col("cleared")))
+    parts = F.filter(F.array(F.struct("price", "dq", "dn"), F.struct(F.col("price2").alias("price"), F.col("dq2").alias("dq"), F.col("dn2").alias("dn"))), lambda x: x["price"].isNotNull())
+    epoch = F.size(F.filter("losses", lambda x: x <= F.col("seg")))
+    sums = changes.select(*key, "seg", "last", epoch.alias("epoch"), F.get("losses", epoch).alias("end"), "side", F.explode(parts).alias("d")).groupBy(*key, "seg", "last", "epoch", "end", "side", "d.price").agg(F.sum("d.dq").alias("dq"), F.sum("d.dn").alias("dn"))
+    level = Window.partitionBy(*key, "side", "price", "epoch").orderBy("seg")
+    held = sums.select(*key, "seg", "side", "price", F.least(F.lead("seg").over(level), "end", "last").alias("to"), F.sum("dq").over(level).alias("dq"), F.sum("dn").over(level).alias("dn"))
+    carried = held.where("dn > 0 AND to > seg").select(*key, F.explode(F.sequence(F.col("seg") + 1, F.col("to"))).alias("seg"), "side", "price", "dq", "dn", F.lit(-1).alias("kind"))
+    begun = carried.unionByName(flags, allowMissingColumns=True)
+    return begun.withColumn("role", F.lit(0)).withColumn("sequence", F.lit(0).cast("long")).withColumn("late", F.lit(0))
+
+
+_IMAGES = "channel int, symbol string, seg long, role int, version long, sequence long, exchange_ns long, ingest_ns long, update_count long, flags int, bids array<long>, asks array<long>"
+
+
+def _dealt(rows: DataFrame, depth: int) -> DataFrame:
+    """Images of each stretch, numbered from 1, and a row of role 0 that ends it with its totals."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, walk = None, None
+        for batch in batches:
+            out = _Rows()
+            columns = [c.to_pylist() for c in batch.columns]
+            for channel, symbol, seg, *row in zip(*columns):
+                if held is None or seg != held[2] or symbol != held[1] or channel != held[0]:
+                    if walk:
+                        walk.end(held, out)
+                    held, walk = (channel, symbol, seg), _Walk(depth)
+                walk.step(held, row, out)
+            yield out.batch()
+        if walk:
+            out = _Rows()
+            walk.end(held, out)
+            yield out.batch()
+
+    key = ["channel", "symbol", "seg"]
+    dealt = rows.repartition(*key).sortWithinPartitions(*key, "role", "sequence", "late", "kind")
+    return dealt.select(*key, "role", "sequence", "kind", "side", "price", "dq", "dn", "price2", "dq2", "dn2", "corrupt", "exchange_ns", "ingest_ns").mapInArrow(run, _IMAGES)
+
+
+class _Rows:
+    """Rows of _IMAGES, the levels flat."""
+
+    def __init__(self) -> None:
+        self.heads: list[tuple] = []
+        self.levels: tuple[list[int], list[int]] = [], []
+        self.ends: tuple[list[int], list[int]] = [0], [0]
+
+    def add(self, head: tuple, *sides: list[int]) -> None:
+        self.heads.append(head)
+        for flat, ends, side in zip(self.levels, self.ends, sides):
+            flat += side
+            ends.append(len(flat))
+
+    def batch(self) -> pa.RecordBatch:
+        names, kinds = zip(*(c.split() for c in _IMAGES.split(", ")))
+        columns = list(zip(*self.heads)) if self.heads else [[] for _ in names[:-2]]
+        heads = [pa.array(c, _TYPES[k]) for c, k in zip(columns, kinds)]
+        lists = [pa.ListArray.from_arrays(pa.array(e, pa.int32()), pa.array(f, pa.int64())) for f, e in zip(self.levels, self.ends)]
+        return pa.RecordBatch.from_arrays([*heads, *lists], names=list(names))
+
+
+class _Walk:
+    """One stretch: its levels, and what was shown last."""
+
+    def __init__(self, depth: int) -> None:
+        self.book = Book(depth)
+
+    def step(self, key: tuple, row: list, out: _Rows) -> None:
+        role, sequence, kind, side, price, dq, dn, price2, dq2, dn2, corrupt, exchange_ns, ingest_ns = row
+        book = self.book
+        if role == 0:
+            if kind < 0:
+                book.sides[side].add(price, dq, dn)
+            else:  # the last row of the begin: what its levels show has been seen
+                book.flags = (0, S.STALE, S.HALTED)[kind]
+                book.image(force=True)
+                book.version = 0
+            return
+        if kind:
+            if kind == 1:
+                book.clear()
+            book.flags = S.STALE if kind == 1 else S.HALTED
+        else:
+            ladder = book.sides[side]
+            ladder.moved = False
+            if price is not None:
+                book.updates += not corrupt
+                if dn > 0:
+                    ladder.add(price, dq, dn)
+                else:
+                    ladder.cut(price, -dq, -dn)
+            if price2 is not None:
+                book.updates += 1
+                ladder.add(price2, dq2, dn2)
+            if not ladder.moved:
+                return
+        image = book.image(force=kind > 0)
+        if image is not None:
+            version, updates, flags, bids, asks = image
+            out.add((*key, 1, version, sequence, exchange_ns, ingest_ns, updates, flags), bids, asks)
+
+    def end(self, key: tuple, out: _Rows) -> None:
+        out.add((*key, 0, self.book.version, None, None, None, self.book.updates, 0), [], [])
+
+
 def image_text(side: str) -> Column:
     """The levels of an image as price:quantity:orders, best first."""
     return F.array_join(F.transform(side, lambda x: F.concat_ws(":", x["price"], x["quantity"], x["order_count"])), ",")
@@ -310,14 +472,17 @@ def trades(outcome: DataFrame) -> DataFrame:
     )
 
 
-def stats(outcome: DataFrame, keys: tuple[str, ...] = ("channel",)) -> DataFrame:
-    """The counters of each shard, and the share of book changes that nobody could see."""
+def stats(outcome: DataFrame, shown: DataFrame, keys: tuple[str, ...] = ("channel",)) -> DataFrame:
+    """The counters of each shard, and the share of book changes that nobody could see; shown: its images. Forced images
+    (of a loss or a market close) count as published only."""
     c = lambda cond: F.count_if(F.expr(cond))
     s = outcome.groupBy(*keys).agg(
         c("status = 'applied'").alias("applied"), c("status = 'unknown_order'").alias("unknown_order"), c("status = 'unknown_symbol'").alias("unknown_symbol"),
         c("status = 'bad_event'").alias("bad_event"), c("status = 'lost_order'").alias("lost_order"), c("corrupt > 0").alias("corrupt"),
-        c("trade_quantity IS NOT NULL").alias("trades"), c("version IS NOT NULL").alias("published"), c("status = 'applied' AND version IS NULL").alias("suppressed"),
+        c("trade_quantity IS NOT NULL").alias("trades"), c("status IN ('stale', 'halted')").alias("forced"),
     )
+    s = s.join(shown.groupBy(*keys).agg(F.count(F.lit(1)).alias("published")), list(keys), "left").withColumn("published", F.coalesce("published", F.lit(0).cast("long")))
+    s = s.withColumn("suppressed", F.col("applied") + F.col("forced") - F.col("published")).drop("forced")
     return s.withColumn("suppressed_percent", F.coalesce(F.round(100.0 * F.col("suppressed") / F.nullif(F.col("published") + F.col("suppressed"), F.lit(0)), 6), F.lit(0.0)))
 
 

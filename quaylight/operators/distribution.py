@@ -10,13 +10,15 @@ from pyspark.sql import functions as F
 
 from quaylight import schema as S
 from quaylight.functions.market import permits
+from quaylight.operators.running import running
+from quaylight.sources.client_protocol import LEVEL_BYTES, update_bytes
 
 OK, NOT_ENTITLED, UNKNOWN_SYMBOL, LIMIT_EXCEEDED, ALREADY_SUBSCRIBED = "Ok", "NotEntitled", "UnknownSymbol", "LimitExceeded", "AlreadySubscribed"
 
 
 def logins(attempts: DataFrame, clients: DataFrame, version: int = 1) -> DataFrame:
     """attempts (token, protocol) with the client they resolve to and a status; no data goes to anyone but Ok."""
-    status = F.when(F.col("protocol") != version, "BadVersion").when(F.col("client_id").isNull(), "UnknownToken").otherwise(OK)
+    status = F.when(F.col("protocol") != version, "VersionMismatch").when(F.col("client_id").isNull(), "BadToken").otherwise(OK)
     return attempts.join(clients.select("token", "client_id"), "token", "left").withColumn("status", status)
 
 
@@ -75,6 +77,29 @@ def updates(images: DataFrame, subscriptions: DataFrame) -> DataFrame:
     return sent.withColumn("conflated_count", F.col("version") - F.coalesce(F.lag("version").over(w), F.col("from_version")) - 1)
 
 
+def update_counts(images: DataFrame, subscriptions: DataFrame) -> DataFrame:
+    """client_id, symbol, updates, conflated, most: what updates() would send, counted without fanning it out.
+
+    Of the versions sent after a base all but the first have the same skips for every subscriber. So each symbol's sent
+    versions are counted once for each base that a subscription has (not for each subscriber), and the first skip and
+    the sum follow from the base and the last version: sum = last - base - count."""
+    slim = images.select("symbol", "version", "sequence")
+    mode = (F.col("flags").bitwiseAND(S.INCREMENTAL) != 0).alias("every")
+    asked = subscriptions.select("client_id", "symbol", "from_version", mode)
+    bases = asked.select("symbol", "from_version", "every").distinct()
+    sent = slim.select("symbol", "version", F.lit(True).alias("every")).unionByName(latest_in_pass(slim).select("symbol", "version", F.lit(False).alias("every")))
+    behind = Window.partitionBy("symbol", "every").orderBy("version")
+    sent = sent.withColumn("skips", F.col("version") - F.lag("version").over(behind) - 1)
+    after = sent.join(bases, ["symbol", "every"]).where(F.col("version") > F.col("from_version"))
+    found = after.groupBy("symbol", "every", "from_version").agg(
+        F.count(F.lit(1)).alias("updates"), F.min("version").alias("first"), F.max("version").alias("last"),
+        F.max(F.when(F.col("version") - F.col("skips") - 1 > F.col("from_version"), F.col("skips"))).alias("later"),
+    )
+    base = F.col("from_version")
+    found = found.select("symbol", "every", "from_version", "updates", (F.col("last") - base - F.col("updates")).alias("conflated"), F.greatest(F.col("first") - base - 1, "later").alias("most"))
+    return asked.join(found, ["symbol", "every", "from_version"]).select("client_id", "symbol", "updates", "conflated", "most")
+
+
 def snapshot_then_stream(images: DataFrame, subscriptions: DataFrame) -> DataFrame:
     """The image as of a subscription's version, then every later one, once each."""
     joined = images.select("symbol", "version", "sequence").join(subscriptions.select("client_id", "symbol", "from_version"), "symbol")
@@ -84,10 +109,12 @@ def snapshot_then_stream(images: DataFrame, subscriptions: DataFrame) -> DataFra
     return snapshot.unionByName(after)
 
 
-def publication_log(images: DataFrame, capacity: int | None = None) -> DataFrame:
-    """Published images of a shard by absolute position from 0; with a capacity only those not yet overwritten."""
-    w = Window.partitionBy("channel").orderBy("sequence", "symbol", "version")
-    log = images.withColumn("position", (F.row_number().over(w) - 1).cast("long"))
+def publication_log(images: DataFrame, capacity: int | None = None, enabled: DataFrame | None = None) -> DataFrame:
+    """Published images of a shard by absolute position from 0; with a capacity only those not yet overwritten. enabled:
+    the shards (channel) whose log is on; a log that is off records nothing."""
+    if enabled is not None:
+        images = images.join(enabled.select("channel").distinct(), "channel", "left_semi")
+    log = running(images, "position", ["channel"], ["sequence", "symbol", "version"], F.lit(1).cast("long"), current=False)
     if capacity is None:
         return log
     end = log.groupBy("channel").agg((F.max("position") + 1).alias("end"))
@@ -111,6 +138,58 @@ def overruns(ticks: DataFrame, capacity: int) -> DataFrame:
     return ticks.select("client_id", "now_ns", backlog.alias("backlog"), (backlog > capacity).alias("overrun"))
 
 
+def admitted(connections: DataFrame, capacity: int) -> DataFrame:
+    """connections (fanout, at, client_id, release) of a fan-out thread with slot and status: a client takes the lowest
+    number of the connections so far, and is refused beyond capacity while that many are held.
+
+    The clients held at a moment are the admissions less the releases before it. A refused client's release counts for
+    nothing, so this is exact where nobody is refused twice; a thread's connections are few."""
+    w = Window.partitionBy("fanout").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    held = F.coalesce(F.sum(F.when(F.col("release"), -1).otherwise(1)).over(w), F.lit(0))
+    return connections.withColumn("held", held).withColumn("status", F.when(F.col("release"), "Released").when(F.col("held") < capacity, OK).otherwise("CapacityExceeded"))
+
+
+def subscribed_intervals(changes: DataFrame) -> DataFrame:
+    """client_id, symbol, flags, from_version, until_version (null: still subscribed) from subscribes and unsubscribes
+    (client_id, symbol, at, version, kind S or U, flags): interest holds from one to the next."""
+    w = Window.partitionBy("client_id", "symbol").orderBy("at")
+    until = F.when(F.lead("kind").over(w) == "U", F.lead("version").over(w))
+    return changes.withColumn("until_version", until).where("kind = 'S'").select("client_id", "symbol", "flags", F.col("version").alias("from_version"), "until_version")
+
+
+def updates_while_subscribed(images: DataFrame, intervals: DataFrame) -> DataFrame:
+    """updates() of subscriptions that end: nothing is sent after until_version, and nobody's interest costs a symbol
+    that no one holds any more."""
+    keyed = intervals.withColumn("until_version", F.coalesce("until_version", F.lit(2**62)))
+    sent = updates(interest(images, intervals), keyed.select("client_id", "symbol", "flags", "from_version"))
+    return sent.join(keyed.select("client_id", "symbol", "from_version", "until_version"), ["client_id", "symbol", "from_version"]).where("version <= until_version").drop("until_version")
+
+
+def eviction_notices(stalls: DataFrame, backlog: DataFrame, trade_capacity: int) -> DataFrame:
+    """client_id, reason, backlog_bytes, stalled_nanos of every client that is cut, with its first reason: a stall
+    (stalled()) that reaches the deadline, or a trade queue (client_id, now_ns, backlog, queued_bytes) that overruns."""
+    slow = stalls.where("evicted").select("client_id", F.col("blocked_to").alias("at"), F.lit("SlowConsumer").alias("reason"), F.col("stalled_ns").alias("stalled_nanos"))
+    over = backlog.where(F.col("backlog") > trade_capacity).select("client_id", F.col("now_ns").alias("at"), F.lit("TradeQueueOverrun").alias("reason"), F.lit(0).cast("long").alias("stalled_nanos"))
+    first = slow.unionByName(over).groupBy("client_id").agg(F.min(F.struct("at", "reason", "stalled_nanos")).alias("e")).select("client_id", "e.*")
+    held = first.join(backlog.select("client_id", "now_ns", "queued_bytes"), "client_id").where(F.col("now_ns") <= F.col("at"))
+    bytes_ = held.groupBy("client_id").agg(F.max_by("queued_bytes", "now_ns").alias("backlog_bytes"))
+    return first.join(bytes_, "client_id", "left").select("client_id", "reason", F.coalesce("backlog_bytes", F.lit(0).cast("long")).alias("backlog_bytes"), "stalled_nanos")
+
+
+def delivered_bytes(images: DataFrame, subscriptions: DataFrame) -> DataFrame:
+    """client_id, updates, bytes of what updates() sends: each frame has a fixed part and 16 bytes a level. Summed once
+    for each base and mode of a symbol, as in update_counts."""
+    slim = images.select("symbol", "version", "sequence", (F.col("bid_levels") + F.col("ask_levels")).alias("levels"))
+    mode = (F.col("flags").bitwiseAND(S.INCREMENTAL) != 0).alias("every")
+    asked = subscriptions.select("client_id", "symbol", "from_version", mode)
+    sent = slim.select("symbol", "version", "levels", F.lit(True).alias("every")).unionByName(latest_in_pass(slim).select("symbol", "version", "levels", F.lit(False).alias("every")))
+    bases = asked.select("symbol", "from_version", "every").distinct()
+    sums = sent.join(bases, ["symbol", "every"]).where(F.col("version") > F.col("from_version")).groupBy("symbol", "every", "from_version").agg(
+        F.count(F.lit(1)).alias("updates"), F.sum(F.lit(update_bytes(0, 0)) + F.col("levels") * LEVEL_BYTES).alias("bytes")
+    )
+    return asked.join(sums, ["symbol", "every", "from_version"]).groupBy("client_id").agg(F.sum("updates").alias("updates"), F.sum("bytes").alias("bytes"))
+
+
 def entitled_as_of(changes: DataFrame, moments: DataFrame) -> DataFrame:
     """moments (token, at) with the entitlement in force: the newest change (token, version, changed_at, venue_mask,
     revoked) not later; revoked ones do not resolve. An as-of join by union and last value, one shuffle on token."""

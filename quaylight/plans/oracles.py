@@ -56,7 +56,7 @@ state AS (SELECT k.symbol, k.sequence, coalesce(string_agg(concat_ws(':', price,
    coalesce(string_agg(concat_ws(':', price, q, c), ',' ORDER BY rank) FILTER (WHERE side = 'S' AND rank <= 10), '') AS asks,
    max(price) FILTER (WHERE side = 'B') AS bid, min(price) FILTER (WHERE side = 'S') AS ask
    FROM known k LEFT JOIN seen s ON s.symbol = k.symbol AND s.sequence = k.sequence GROUP BY k.symbol, k.sequence),
-flagged AS (SELECT *, CASE WHEN bid >= ask THEN 8 ELSE 0 END AS flags FROM state),
+flagged AS (SELECT *, CASE WHEN bid >= ask THEN 4 ELSE 0 END AS flags FROM state),
 filtered AS (SELECT *, (bids, asks, flags) IS DISTINCT FROM lag((bids, asks, flags), 1, ('', '', 0)) OVER (PARTITION BY symbol ORDER BY sequence) AS changed FROM flagged),
 counted AS (SELECT symbol, sequence, sum(count(*)) OVER (PARTITION BY symbol ORDER BY sequence) AS updates FROM deltas GROUP BY symbol, sequence),
 images AS (SELECT f.symbol, f.sequence, row_number() OVER (PARTITION BY f.symbol ORDER BY f.sequence) AS version, updates, flags, bids, asks, bid, ask
@@ -115,6 +115,28 @@ upd AS (SELECT client_id, symbol, version, sequence, version - coalesce(lag(vers
 _FAN = IMAGES + "," + SUBS.replace("SELECT client_id, symbol, given AS flags,", "SELECT client_id, symbol, given AS flags_,") + _UPDATES
 _UNKNOWN = "f.msg_type IN ('U', 'X', 'D', 'E') AND f.sequence NOT IN (SELECT sequence FROM known)"
 
+#: The delivered feed with its losses: orders from before a loss of their channel only print afterwards.
+_LOSSY = (
+    PACKETS
+    + """,
+dfeed AS (SELECT f.*, (SELECT count(*) FROM gap g WHERE g.channel = m.channel AND g.gap_start <= m.n) AS epoch FROM msg m JOIN num USING (channel, n) JOIN feed f USING (channel, sequence)),
+mint AS (SELECT order_id AS oid, CAST(NULL AS BIGINT) AS parent, sequence AS birth, quantity AS q0, price, symbol, side, epoch FROM dfeed WHERE msg_type = 'A'
+   UNION ALL SELECT aux_id, order_id, sequence, quantity, price, NULL, NULL, epoch FROM dfeed WHERE msg_type = 'U' AND aux_id IS NOT NULL),
+red AS (SELECT f.sequence, f.msg_type, f.order_id AS oid, f.quantity, q0,
+   coalesce(sum(f.quantity) OVER (PARTITION BY f.order_id ORDER BY f.sequence ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prev
+   FROM dfeed f JOIN mint ON f.order_id = oid AND f.sequence > birth WHERE f.msg_type IN ('X', 'E')),
+death AS (SELECT oid, min(sequence) AS seq FROM (SELECT order_id AS oid, f.sequence FROM dfeed f JOIN mint ON f.order_id = oid AND f.sequence > birth WHERE msg_type IN ('D', 'U')
+   UNION ALL SELECT oid, sequence FROM red WHERE prev + quantity >= q0) GROUP BY oid),
+live AS (SELECT oid, birth, epoch, symbol FROM mint WHERE parent IS NULL AND symbol <> 'S000009'
+   UNION ALL SELECT c.oid, c.birth, c.epoch, l.symbol FROM live l JOIN death d ON d.oid = l.oid JOIN mint c ON c.parent = l.oid AND c.birth = d.seq AND c.epoch = l.epoch),
+told AS (SELECT f.channel, f.sequence, f.msg_type, f.epoch, f.quantity, l.symbol AS of, l.epoch AS born,
+   CASE WHEN f.msg_type = 'A' THEN CASE WHEN f.symbol = 'S000009' THEN 'unknown_symbol' ELSE 'applied' END
+   WHEN f.msg_type = 'P' THEN CASE WHEN f.symbol = 'S000009' THEN 'unknown_symbol' ELSE 'trade' END
+   WHEN l.oid IS NULL THEN 'unknown_order' WHEN l.epoch <> f.epoch THEN 'lost_order' ELSE 'applied' END AS status
+   FROM dfeed f LEFT JOIN (SELECT live.*, seq AS died FROM live LEFT JOIN death USING (oid)) l ON f.msg_type IN ('D', 'U', 'X', 'E') AND f.order_id = l.oid AND f.sequence > l.birth AND (died IS NULL OR f.sequence <= died)),
+inst AS (SELECT CAST(i % 4 AS INT) AS channel, 'S' || lpad(CAST(i AS VARCHAR), 6, '0') AS symbol FROM range(9) r(i))"""
+)
+
 SQL = {
     "feed_decode": _with(FEED, "SELECT * FROM feed"),
     "order_lifecycle": _with(LIFE, "SELECT sequence, symbol, side, price, CAST(dq AS BIGINT) AS dq, CAST(dn AS BIGINT) AS dn FROM deltas"),
@@ -225,6 +247,73 @@ SQL = {
    FROM customer, (VALUES (1, 1, false), (2, 8, true), (3, 15, false)) s(v, d, r)),
   a AS (SELECT 'T' || user_id AS token, epoch_us(ts) * 1000 AS at FROM events)
   SELECT a.token, a.at, CASE WHEN NOT revoked THEN version END AS version, CASE WHEN NOT revoked THEN venue_mask END AS venue_mask FROM a ASOF LEFT JOIN c ON a.token = c.token AND a.at >= c.changed_at""",
-    "login_status": """SELECT CASE WHEN event_id % 7 = 0 THEN 'BadVersion' WHEN c_custkey IS NULL THEN 'UnknownToken' ELSE 'Ok' END AS status, count(*) AS attempts
+    "login_status": """SELECT CASE WHEN event_id % 7 = 0 THEN 'VersionMismatch' WHEN c_custkey IS NULL THEN 'BadToken' ELSE 'Ok' END AS status, count(*) AS attempts
   FROM events LEFT JOIN customer ON user_id * 3 = c_custkey GROUP BY 1""",
+    "loss_invalidation": _with(
+        _LOSSY,
+        """SELECT channel, status, count(*) AS events, CAST(coalesce(sum(CASE WHEN status = 'trade' THEN t.quantity WHEN msg_type = 'E' AND status IN ('applied', 'lost_order')
+  THEN (SELECT least(r.quantity, q0 - prev) FROM red r WHERE r.sequence = t.sequence) END), 0) AS BIGINT) AS traded FROM told t GROUP BY channel, status
+  UNION ALL SELECT channel, 'stale', count(*), CAST(0 AS BIGINT) FROM gap JOIN inst USING (channel) GROUP BY channel""",
+    ),
+    "market_close": _with(
+        IMAGES,
+        """, last AS (SELECT symbol, count(*) AS version, arg_max(flags, version) AS flags FROM images GROUP BY symbol),
+  state_now AS (SELECT symbol, arg_max(flags, sequence) AS flags FROM flagged GROUP BY symbol), ups AS (SELECT symbol, count(*) AS n FROM deltas GROUP BY symbol)
+  SELECT symbol, version + 1 AS version, CAST(s.flags | 8 AS INT) AS flags, n AS update_count FROM last JOIN state_now s USING (symbol) JOIN ups USING (symbol)""",
+    ),
+    "feed_statistics": _with(
+        PACKETS,
+        f""", k AS (SELECT channel, count(*) FILTER (WHERE source = 'L') AS packets, count(*) FILTER (WHERE source = 'L' AND first < reach AND first + cnt <= reach) AS duplicates,
+  count(*) FILTER (WHERE source = 'L' AND first > reach) AS ahead, count(*) FILTER (WHERE rejected) AS rejected FROM {_SEEN.format("arr")} GROUP BY channel),
+  d AS (SELECT channel, count(*) AS delivered, count(*) FILTER (WHERE source = 'R') AS recovered FROM msg GROUP BY channel),
+  gs AS (SELECT channel, count(*) AS gaps, CAST(sum(gap_length) AS BIGINT) AS lost FROM gap GROUP BY channel)
+  SELECT channel, packets, delivered, recovered, duplicates, ahead, rejected, coalesce(gaps, 0) AS gaps, coalesce(lost, 0) AS lost FROM k JOIN d USING (channel) LEFT JOIN gs USING (channel)""",
+    ),
+    "session_sequencing": _with(
+        PACKETS,
+        """, v AS (SELECT channel, arrival_no, 'S' || ((first - 1) // 8 // 200) AS session, first - (first - 1) // 8 // 100 * 800 AS first, cnt, false AS fin FROM arr WHERE source = 'L'
+  UNION ALL SELECT channel, arrival_no + 4, 'S' || ((first - 1) // 8 // 200), 0, 0, true FROM arr WHERE source = 'L' AND (first - 1) // 8 % 300 = 99),
+  w AS (SELECT *, coalesce(lag(session) OVER o <> session OR lag(fin) OVER o, true) AS fresh FROM v WINDOW o AS (PARTITION BY channel ORDER BY arrival_no)),
+  x AS (SELECT *, CAST(sum(CAST(fresh AS INT)) OVER (PARTITION BY channel ORDER BY arrival_no) AS BIGINT) AS session_no FROM w),
+  y AS (SELECT *, coalesce(max(first + cnt) OVER (PARTITION BY channel, session_no ORDER BY arrival_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), first) AS reach FROM x WHERE NOT fin)
+  SELECT channel, session_no, CASE WHEN first = reach THEN 'in_order' WHEN first > reach THEN 'ahead' WHEN first + cnt <= reach THEN 'late' ELSE 'overlap' END AS kind, count(*) AS packets, min(first) AS first FROM y GROUP BY ALL""",
+    ),
+    "retransmit_after_grace": _with(
+        PACKETS,
+        f""", a AS (SELECT channel, arrival_no, reach, first FROM {_SEEN.format("(SELECT * FROM arr WHERE source = 'L')")} WHERE first > reach),
+  c AS (SELECT channel, first + i AS n, min(arrival_no) AS came FROM arr, unnest(range(8)) u(i) WHERE source = 'L' AND i < cnt GROUP BY ALL),
+  h AS (SELECT a.channel, a.arrival_no, reach + i AS n FROM a, unnest(range(first - reach)) u(i))
+  SELECT channel, min(n) AS gap_start, CAST(least(max(n) - min(n) + 1, 1024) AS BIGINT) AS request_count FROM h LEFT JOIN c USING (channel, n) WHERE came IS NULL OR came > arrival_no + 20 GROUP BY channel, arrival_no""",
+    ),
+    "admissions": """WITH s AS (SELECT CAST(user_id % 3 AS INT) AS fanout, epoch_us(ts) * 1000 AS moment, user_id AS client_id, event_type = 'error' AS release FROM events WHERE user_id % 50 = 0),
+  h AS (SELECT *, coalesce(sum(CASE WHEN release THEN -1 ELSE 1 END) OVER (PARTITION BY fanout ORDER BY moment ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS held FROM s)
+  SELECT fanout, moment AS "at", client_id, release, CAST(held AS BIGINT) AS held, CASE WHEN release THEN 'Released' WHEN held < 3 THEN 'Ok' ELSE 'CapacityExceeded' END AS status FROM h""",
+    "unsubscribed_updates": _with(
+        _FAN, "SELECT client_id, symbol, count(*) AS updates, max(version) AS last FROM sent WHERE client_id % 2 = 1 OR version <= from_version + 40 GROUP BY client_id, symbol"
+    ),
+    "eviction_notices": """WITH s AS (SELECT user_id AS client_id, epoch_us(ts) * 1000 AS now_ns, event_type, event_type IN ('error', 'purchase', 'click') AS blocked FROM events),
+  i AS (SELECT *, count(*) FILTER (WHERE NOT blocked) OVER (PARTITION BY client_id ORDER BY now_ns) AS island FROM s),
+  w AS (SELECT client_id, max(now_ns) AS moment, 'SlowConsumer' AS reason, max(now_ns) - min(now_ns) AS stalled_nanos FROM i WHERE blocked GROUP BY client_id, island HAVING max(now_ns) - min(now_ns) >= 3600000000000),
+  b AS (SELECT client_id, now_ns, sum(CASE WHEN event_type = 'purchase' THEN 3 WHEN event_type = 'view' THEN -2 ELSE 0 END) OVER (PARTITION BY client_id ORDER BY now_ns) AS backlog FROM s),
+  e AS (SELECT * FROM (SELECT * FROM w UNION ALL SELECT client_id, now_ns, 'TradeQueueOverrun', CAST(0 AS BIGINT) FROM b WHERE backlog > 4) QUALIFY row_number() OVER (PARTITION BY client_id ORDER BY moment, reason) = 1)
+  SELECT client_id, reason, CAST(greatest(0, (SELECT arg_max(backlog, now_ns) FROM b WHERE b.client_id = e.client_id AND b.now_ns <= e.moment)) * 52 AS BIGINT) AS backlog_bytes, stalled_nanos FROM e""",
+    "log_switch": _with(IMAGES, "SELECT f.channel, count(*) AS write_position FROM images i JOIN feed f USING (sequence) WHERE f.channel IN (0, 2) GROUP BY f.channel"),
+    "first_instruments": _with(SUBS, "SELECT symbol, venue_id FROM inst ORDER BY symbol LIMIT 5"),
+    "delivered_bytes": _with(
+        _FAN,
+        """, lv AS (SELECT symbol, version, CASE WHEN bids = '' THEN 0 ELSE len(string_split(bids, ',')) END + CASE WHEN asks = '' THEN 0 ELSE len(string_split(asks, ',')) END AS levels FROM images)
+  SELECT client_id, count(*) AS updates, CAST(sum(44 + 16 * levels) AS BIGINT) AS bytes FROM sent JOIN lv USING (symbol, version) GROUP BY client_id""",
+    ),
+    "latency_moments": _with(
+        _HIST,
+        """, h AS (SELECT channel, bucket::DOUBLE AS b, cnt FROM hist UNION ALL SELECT -1, bucket::DOUBLE, cnt FROM hist)
+  SELECT CAST(channel AS INT) AS channel, CAST(sum(cnt) AS BIGINT) AS count, round(sum(b * cnt) / sum(cnt), 3) AS mean, round(sqrt(sum(b * b * cnt) / sum(cnt) - (sum(b * cnt) / sum(cnt)) ** 2), 3) AS stddev FROM h GROUP BY channel""",
+    ),
+    "session_report": _with(
+        _FAN,
+        """, st AS (SELECT client_id, count(*) FILTER (WHERE status = 'Ok') AS granted, count(*) FILTER (WHERE status <> 'Ok') AS refused FROM stat GROUP BY client_id),
+  su AS (SELECT client_id, count(*) AS updates, CAST(sum(conflated_count) AS BIGINT) AS conflated, max(conflated_count) AS most FROM upd GROUP BY client_id),
+  sk AS (SELECT client_id, count(*) AS trades FROM trades x JOIN subs s ON x.symbol = s.symbol WHERE flags_ & 4 <> 0 GROUP BY client_id)
+  SELECT client_id, granted, refused, coalesce(updates, 0) AS updates, coalesce(conflated, 0) AS conflated, coalesce(most, 0) AS most, coalesce(trades, 0) AS trades FROM st LEFT JOIN su USING (client_id) LEFT JOIN sk USING (client_id)""",
+    ),
 }

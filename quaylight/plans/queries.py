@@ -11,6 +11,7 @@ from quaylight import schema as S
 from quaylight.functions import histogram as H
 from quaylight.functions.market import wall_micros
 from quaylight.operators import analytics, books, distribution, lifecycle, sequencing
+from quaylight.operators.running import checkpointed
 from quaylight.sources import events_feed, simulator, wire
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,7 +24,12 @@ def query(f: Query) -> Query:
 
 
 def outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return books.fold(events_feed.feed(spark, sf_dir), books.master(events_feed.instruments(spark)))
+    """What every event of the feed did; the feed has neither losses nor market closes."""
+    return lifecycle.outcomes(events_feed.feed(spark, sf_dir), events_feed.instruments(spark), markers=False)
+
+
+def _images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return books.images(outcome(spark, sf_dir))
 
 
 def _levels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,17 +110,19 @@ def book_corruption(spark, sf_dir):
 
 @query
 def published_images(spark, sf_dir):
-    return books.images(outcome(spark, sf_dir)).select("symbol", "version", "sequence", "update_count", "flags", books.image_text("bids").alias("bids"), books.image_text("asks").alias("asks"))
+    return _images(spark, sf_dir).select("symbol", "version", "sequence", "update_count", "flags", books.image_text("bids").alias("bids"), books.image_text("asks").alias("asks"))
 
 
 @query
 def publish_stats(spark, sf_dir):
-    return books.stats(outcome(spark, sf_dir).where("status = 'applied'"), ("symbol",)).select("symbol", "published", "suppressed", "suppressed_percent")
+    o = outcome(spark, sf_dir)
+    return books.stats(o.where("status = 'applied'"), books.images(o), ("symbol",)).select("symbol", "published", "suppressed", "suppressed_percent")
 
 
 @query
 def shard_stats(spark, sf_dir):
-    return books.stats(outcome(spark, sf_dir))
+    o = outcome(spark, sf_dir)
+    return books.stats(o, books.images(o))
 
 
 @query
@@ -184,23 +192,23 @@ def tape_delivery(spark, sf_dir):
 
 @query
 def conflated_updates(spark, sf_dir):
-    return distribution.updates(books.images(outcome(spark, sf_dir)), _subscriptions(spark, sf_dir)).select("client_id", "symbol", "version", "sequence", "conflated_count")
+    return distribution.updates(_images(spark, sf_dir), _subscriptions(spark, sf_dir)).select("client_id", "symbol", "version", "sequence", "conflated_count")
 
 
 @query
 def conflation_stats(spark, sf_dir):
-    sent = distribution.updates(books.images(outcome(spark, sf_dir)), _subscriptions(spark, sf_dir))
-    return sent.groupBy("client_id").agg(F.count(F.lit(1)).alias("updates"), F.sum("conflated_count").alias("conflated"), F.max("conflated_count").alias("most"))
+    sent = distribution.update_counts(_images(spark, sf_dir), _subscriptions(spark, sf_dir))
+    return sent.groupBy("client_id").agg(F.sum("updates").alias("updates"), F.sum("conflated").alias("conflated"), F.max("most").alias("most"))
 
 
 @query
 def snapshot_stream_join(spark, sf_dir):
-    return distribution.snapshot_then_stream(books.images(outcome(spark, sf_dir)), _subscriptions(spark, sf_dir))
+    return distribution.snapshot_then_stream(_images(spark, sf_dir), _subscriptions(spark, sf_dir))
 
 
 @query
 def publication_log_window(spark, sf_dir):
-    return distribution.publication_log(books.images(outcome(spark, sf_dir)), 100).select("channel", "symbol", "version", "sequence", "position")
+    return distribution.publication_log(_images(spark, sf_dir), 100).select("channel", "symbol", "version", "sequence", "position")
 
 
 def _sockets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -247,7 +255,7 @@ def book_imbalance(spark, sf_dir):
 
 @query
 def spread_stats(spark, sf_dir):
-    return analytics.spreads(books.images(outcome(spark, sf_dir)))
+    return analytics.spreads(_images(spark, sf_dir))
 
 
 @query
@@ -259,8 +267,9 @@ def wire_roundtrip(spark, sf_dir):
 
 @query
 def sim_flow_shape(spark, sf_dir):
-    """Message types of a simulated market, by instrument."""
-    flow = simulator.market(spark, instruments=20, messages=400)
+    """Message types of a simulated market, by instrument; its busiest instrument follows the scale of the tables."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").count()
+    flow = simulator.market(spark, instruments=100, messages=max(1000, orders // 10))
     return flow.groupBy("symbol", "msg_type").agg(F.count(F.lit(1)).alias("messages"))
 
 
@@ -282,14 +291,14 @@ def side_totals(spark, sf_dir):
 @query
 def latest_images(spark, sf_dir):
     """The latest-value cell of every symbol."""
-    newest = books.images(outcome(spark, sf_dir)).groupBy("symbol").agg(F.max_by(F.struct("version", "sequence", "bids", "asks"), "version").alias("i")).select("symbol", "i.*")
+    newest = _images(spark, sf_dir).groupBy("symbol").agg(F.max_by(F.struct("version", "sequence", "bids", "asks"), "version").alias("i")).select("symbol", "i.*")
     return newest.select("symbol", "version", "sequence", books.image_text("bids").alias("bids"), books.image_text("asks").alias("asks"))
 
 
 @query
 def dirty_symbols(spark, sf_dir):
     """How many symbols each pass finds changed, and how many states it skips."""
-    images = books.images(outcome(spark, sf_dir)).select("symbol", "version", "sequence")
+    images = _images(spark, sf_dir).select("symbol", "version", "sequence")
     passes = images.withColumn("pass", F.floor((F.col("sequence") + 62) / 64).cast("long")).groupBy("pass")
     return passes.agg(F.countDistinct("symbol").alias("symbols"), (F.count(F.lit(1)) - F.countDistinct("symbol")).alias("skipped"))
 
@@ -312,11 +321,124 @@ def login_status(spark, sf_dir):
     return distribution.logins(tries, events_feed.clients(spark, sf_dir)).groupBy("status").agg(F.count(F.lit(1)).alias("attempts"))
 
 
-@query
-def loss_invalidation(spark, sf_dir):
-    """Outcomes by channel when the lost packets of the fixture empty the books: a loss row before each first message after."""
+def _lossy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feed as it was delivered, with a loss row before each first message after a hole."""
     numbered, arrivals = _arrivals(spark, sf_dir)
-    got = sequencing.loss_epochs(sequencing.delivered(arrivals, numbered)).drop("recovered", "copies", "arrival_no", "epoch", "n")
+    got = checkpointed(sequencing.loss_epochs(sequencing.delivered(arrivals, numbered)).drop("recovered", "copies", "arrival_no", "epoch", "n"))
     losses = got.where("gap_before").withColumn("msg_type", F.lit(S.LOSS))
-    feed = got.unionByName(losses)
-    return books.fold(feed, books.master(events_feed.instruments(spark))).groupBy("channel", "status").agg(F.count(F.lit(1)).alias("events"), F.count("version").alias("published"))
+    return got.unionByName(losses).drop("gap_before")
+
+
+@query
+def loss_invalidation(spark, sf_dir):
+    """Outcomes by channel when the lost packets of the fixture empty the books, and the images that forces."""
+    o = lifecycle.outcomes(_lossy(spark, sf_dir), events_feed.instruments(spark))
+    return o.groupBy("channel", "status").agg(F.count(F.lit(1)).alias("events"), F.sum(F.coalesce("trade_quantity", F.lit(0))).alias("traded"))
+
+
+@query
+def market_close(spark, sf_dir):
+    """The last image of every symbol after its channel's market close, which forces one."""
+    feed = events_feed.feed(spark, sf_dir)
+    last = feed.groupBy("channel").agg((F.max("sequence") + 1).alias("sequence"), F.max("exchange_ns").alias("exchange_ns"), F.max("ingest_ns").alias("ingest_ns"))
+    close = last.withColumn("msg_type", F.lit("S")).withColumn("event_code", F.lit("M"))
+    o = lifecycle.outcomes(feed.unionByName(close, allowMissingColumns=True), events_feed.instruments(spark))
+    return books.images(o).groupBy("symbol").agg(F.max("version").alias("version"), F.max_by("flags", "version").alias("flags"), F.max_by("update_count", "version").alias("update_count"))
+
+
+@query
+def feed_statistics(spark, sf_dir):
+    return sequencing.feed_statistics(_arrivals(spark, sf_dir)[1])
+
+
+def _sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arrivals in sessions of 100 packets that count from 1; each third one is ended by a packet."""
+    a = _arrivals(spark, sf_dir)[1].where("source = 'L'").withColumn("p", F.floor((F.col("first") - 1) / events_feed.PER_PACKET))
+    own = a.select("channel", "arrival_no", F.concat(F.lit("S"), F.floor(F.col("p") / 200)).alias("session"), (F.col("first") - F.floor(F.col("p") / 100) * 800).alias("first"), "message_count", F.col("rejected"))
+    ends = a.where("p % 300 = 99").select("channel", (F.col("arrival_no") + 4).alias("arrival_no"), F.concat(F.lit("S"), F.floor(F.col("p") / 200)).alias("session"), F.lit(0).cast("long").alias("first"), F.lit(S.END_OF_SESSION).alias("message_count"), "rejected")
+    return own.unionByName(ends)
+
+
+@query
+def session_sequencing(spark, sf_dir):
+    """Arrivals by the session that they fall into, against what came before in it."""
+    live = sequencing.in_sessions(_sessions(spark, sf_dir)).where(F.col("message_count") != S.END_OF_SESSION)
+    c = sequencing.classified(live, ["channel", "session_no"])
+    return c.groupBy("channel", "session_no", "kind").agg(F.count(F.lit(1)).alias("packets"), F.min("first").alias("first"))
+
+
+@query
+def retransmit_after_grace(spark, sf_dir):
+    """Requests for the holes that are still open 20 arrival numbers later: swapped packets ask for nothing."""
+    return sequencing.retransmit_plan(sequencing.detected_gaps(_arrivals(spark, sf_dir)[1], grace=20))
+
+
+@query
+def admissions(spark, sf_dir):
+    """Connections of clients to fan-out threads of 20 slots; every fourth event of a client is its release."""
+    s = _sockets(spark, sf_dir).where("client_id % 50 = 0")
+    seen = s.select((F.col("client_id") % 3).cast("int").alias("fanout"), F.col("now_ns").alias("at"), "client_id", (F.col("event_type") == "error").alias("release"))
+    return distribution.admitted(seen, 3)
+
+
+def _intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    on = _subscriptions(spark, sf_dir).select("client_id", "symbol", F.lit(0).alias("at"), F.col("from_version").alias("version"), F.lit("S").alias("kind"), "flags")
+    off = on.where("client_id % 2 = 0").select("client_id", "symbol", F.lit(1).alias("at"), (F.col("version") + 40).alias("version"), F.lit("U").alias("kind"), F.lit(0).alias("flags"))
+    return distribution.subscribed_intervals(on.unionByName(off))
+
+
+@query
+def unsubscribed_updates(spark, sf_dir):
+    """What is sent to clients of which every second one unsubscribes 40 versions on."""
+    sent = distribution.updates_while_subscribed(_images(spark, sf_dir), _intervals(spark, sf_dir))
+    return sent.groupBy("client_id", "symbol").agg(F.count(F.lit(1)).alias("updates"), F.max("version").alias("last"))
+
+
+@query
+def eviction_notices(spark, sf_dir):
+    """Clients cut for a stall of an hour or a trade queue of 4, with what was queued for them."""
+    s = _sockets(spark, sf_dir)
+    stalls = distribution.stalled(s.withColumn("blocked", F.col("event_type").isin("error", "purchase", "click")), 3_600_000_000_000)
+    ticks = s.select("client_id", "now_ns", F.when(F.col("event_type") == "purchase", 3).otherwise(0).alias("arrived"), F.when(F.col("event_type") == "view", 2).otherwise(0).alias("sent"))
+    backlog = distribution.overruns(ticks, 4).withColumn("queued_bytes", F.greatest(F.lit(0), "backlog") * 52)
+    return distribution.eviction_notices(stalls, backlog, 4)
+
+
+@query
+def log_switch(spark, sf_dir):
+    """The publication logs of the shards whose log is on: of those that are off nothing is recorded."""
+    on = spark.range(0, 4, 2).select(F.col("id").cast("int").alias("channel"))
+    log = distribution.publication_log(_images(spark, sf_dir), enabled=on)
+    return log.groupBy("channel").agg((F.max("position") + 1).alias("write_position"))
+
+
+@query
+def first_instruments(spark, sf_dir):
+    """The first five instruments of the master, as a display takes them: a sort with a limit."""
+    return events_feed.instruments(spark).orderBy("symbol").limit(5).select("symbol", "venue_id")
+
+
+@query
+def delivered_bytes(spark, sf_dir):
+    return distribution.delivered_bytes(_images(spark, sf_dir), _subscriptions(spark, sf_dir))
+
+
+@query
+def latency_moments(spark, sf_dir):
+    """Mean and deviation of the channels' histograms, and of all merged into one."""
+    h = _latencies(spark, sf_dir)
+    one = H.merge([h.where(F.col("channel") == k) for k in range(4)])
+    each = H.summary(h, ["channel"]).unionByName(H.summary(one).withColumn("channel", F.lit(-1)))
+    return each.select("channel", "count", F.round("mean", 3).alias("mean"), F.round("stddev", 3).alias("stddev"))
+
+
+@query
+def session_report(spark, sf_dir):
+    """The totals that a subscriber's session ends with, by client."""
+    subs = _subscriptions(spark, sf_dir)
+    o = outcome(spark, sf_dir)
+    told = _statuses(spark, sf_dir).groupBy("client_id").agg(F.count_if(F.expr("status = 'Ok'")).alias("granted"), F.count_if(F.expr("status <> 'Ok'")).alias("refused"))
+    sent = distribution.update_counts(books.images(o), subs).groupBy("client_id").agg(F.sum("updates").alias("updates"), F.sum("conflated").alias("conflated"), F.max("most").alias("most"))
+    ticks = distribution.tape(books.trades(o).groupBy("symbol").agg(F.count(F.lit(1)).alias("n")), subs).groupBy("client_id").agg(F.sum("n").alias("trades"))
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    return told.join(sent, "client_id", "left").join(ticks, "client_id", "left").select("client_id", "granted", "refused", *[zero(c) for c in ("updates", "conflated", "most", "trades")])

@@ -14,8 +14,8 @@ LOSS = "L"
 
 # Event flags.
 RECOVERED, GAP_BEFORE = 1, 2
-# Book flags.
-STALE, HALTED, CROSSED = 1, 4, 8
+# Book flags of the wire protocol.
+STALE, RECOVERING, CROSSED, HALTED = 1, 2, 4, 8
 # Subscription flags.
 CONFLATED, INCREMENTAL, WITH_TRADES, SNAPSHOT_ONLY = 1, 2, 4, 8
 

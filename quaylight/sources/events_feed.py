@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quaylight.functions.market import wall_micros
+from quaylight.operators.running import running
 
 SYMBOLS = 10
 CHANNELS = 4
@@ -14,7 +15,7 @@ PER_PACKET = 8
 
 def feed(spark: SparkSession, sf_dir: str, symbols: int = SYMBOLS) -> DataFrame:
     """Events as an order-by-order feed. Orders are minted by A and U; the other types refer to one of the symbol's
-    latest three mints. Numbering mints is a window over each symbol, which is as many groups as symbols."""
+    latest three mints, which are numbered by a running count."""
     k = F.regexp_extract("props", "[0-9]+", 0).cast("int")
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select(
         (F.col("event_id") + 1).alias("sequence"), (wall_micros(F.col("ts")) * 1000).alias("exchange_ns"), (F.col("user_id") % symbols).cast("int").alias("number"),
@@ -27,8 +28,7 @@ def feed(spark: SparkSession, sf_dir: str, symbols: int = SYMBOLS) -> DataFrame:
     )
     e = e.withColumn("msg_type", kind)
     mints = F.col("msg_type").isin("A", "U")
-    before = Window.partitionBy("number").orderBy("sequence").rowsBetween(Window.unboundedPreceding, -1)
-    e = e.withColumn("minted", F.coalesce(F.count_if(mints).over(before), F.lit(0)))
+    e = running(e, "minted", ["number"], ["sequence"], mints.cast("long"), current=False)
     target = F.when(F.col("msg_type").isin("U", "X", "D", "E"), F.col("minted") - F.col("k") % 3)
     e = e.withColumn("target", F.when(target >= 1, target))
     mint = e.where(mints).select("number", (F.col("minted") + 1).alias("target"), F.col("sequence").alias("target_id"))

@@ -1,4 +1,4 @@
-"""Datagrams in and out: capture files, a UDP stream source, a UDP sink, and length-prefixed frames.
+"""Datagrams in and out: capture files, a UDP stream source, a UDP sink.
 
     spark.dataSource.register(transport.CaptureSource)
     spark.read.format("capture").option("path", folder).load()                    # channel, ingest_ns, datagram
@@ -19,14 +19,14 @@ from collections.abc import Iterator
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, SimpleDataSourceStreamReader, WriterCommitMessage
 
 COLUMNS = "channel int, ingest_ns bigint, datagram binary"
-_RECORD = struct.Struct(">iqI")
+_RECORD, _RECORD_BYTES = ">iqI", 16
 
 
 def write_capture(path: str, rows: Iterator[tuple[int, int, bytes]]) -> None:
     """A capture file: channel, ingest time and length before every datagram."""
     with open(path, "wb") as f:
         for channel, ingest_ns, datagram in rows:
-            f.write(_RECORD.pack(channel, ingest_ns, len(datagram)) + datagram)
+            f.write(struct.pack(_RECORD, channel, ingest_ns, len(datagram)) + datagram)
 
 
 class _Whole(InputPartition):
@@ -44,8 +44,8 @@ class _CaptureReader(DataSourceReader):
 
     def read(self, partition: _Whole) -> Iterator[tuple]:
         with open(partition.path, "rb") as f:
-            while len(head := f.read(_RECORD.size)) == _RECORD.size:
-                channel, ingest_ns, size = _RECORD.unpack(head)
+            while len(head := f.read(_RECORD_BYTES)) == _RECORD_BYTES:
+                channel, ingest_ns, size = struct.unpack(_RECORD, head)
                 data = f.read(size)
                 if len(data) == size:  # a cut last record is not one
                     yield channel, ingest_ns, data
@@ -138,24 +138,3 @@ class UdpSource(DataSource):
 
     def writer(self, schema, overwrite: bool) -> DataSourceWriter:
         return _UdpWriter(dict(self.options), [f.name for f in schema.fields])
-
-
-class FrameReader:
-    """Length-prefixed frames out of a byte stream that comes in any pieces."""
-
-    def __init__(self, most: int = 1 << 20) -> None:
-        self.held = bytearray()
-        self.most = most
-
-    def feed(self, data: bytes) -> Iterator[bytes]:
-        """The frames that data completes; ValueError for a frame beyond the limit."""
-        self.held += data
-        while len(self.held) >= 2:
-            size = int.from_bytes(self.held[:2], "big")
-            if size > self.most:
-                raise ValueError("frame too long")
-            if len(self.held) < 2 + size:
-                return
-            frame = bytes(self.held[2 : 2 + size])
-            del self.held[: 2 + size]
-            yield frame

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from quaylight import schema as S
 from quaylight.operators import books as B
+from quaylight.operators import lifecycle as L
 from quaylight.operators.books import Book, Books, Ladder
+from quaylight.operators.running import running
 
 M = 1_000_000
 
@@ -195,7 +197,7 @@ def test_relations_of_the_fold(outcome):
     assert bbo["Z"].best_bid is None and bbo["Z"].mid is None
     (t,) = B.trades(outcome).collect()
     assert (t.symbol, t.price, t.quantity, t.match_id, t.resting_side) == ("A", px(10), 30, 77, "B")
-    s = {r.channel: r for r in B.stats(outcome).collect()}
+    s = {r.channel: r for r in B.stats(outcome, outcome.where("version IS NOT NULL")).collect()}
     assert (s[0].applied, s[0].unknown_order, s[0].trades, s[0].published, s[0].suppressed) == (6, 1, 1, 6, 0)
     images = B.images(outcome).orderBy("symbol", "version").collect()
     assert [i.version for i in images if i.symbol == "A"] == list(range(1, 7))
@@ -209,4 +211,90 @@ def test_versions_by_windows_equal_the_fold(outcome, spark):
 
 
 def test_empty_feed(spark):
-    assert B.fold(spark.createDataFrame([], FEED)).count() == 0
+    empty = spark.createDataFrame([], FEED)
+    assert B.fold(empty).count() == 0 and L.outcomes(empty).count() == 0 and B.images(L.outcomes(empty)).count() == 0
+
+
+def broken_feed(spark, seed, channels=2, messages=300, losses=True, reuse=0.03, empty=0.05):
+    """Random events with reused ids, replaces of unknown ids, orders without size, missing fields, losses and closes."""
+    rng, rows = random.Random(seed), []
+    names = ["channel", "sequence", "exchange_ns", "ingest_ns", "msg_type", "symbol", "order_id", "aux_id", "side", "quantity", "price", "event_code"]
+    for c in range(channels):
+        ids = []
+
+        def new():
+            ids.append(rng.choice(ids) if ids and rng.random() < reuse else len(ids) + 1)  # noqa: B023
+            return ids[-1]  # noqa: B023
+
+        def known():
+            return rng.choice(ids[-12:]) if ids and rng.random() < 0.95 else rng.randint(1, 400)  # noqa: B023
+
+        for i in range(1, messages + 1):
+            e = dict.fromkeys(names) | {"channel": c, "sequence": i, "exchange_ns": i, "ingest_ns": i}
+            q = 0 if rng.random() < empty else 100 * rng.randint(1, 5)
+            p, symbol, side = rng.randint(95, 105), rng.choice("ABCZ"), rng.choice("BS")
+            kind = rng.choices("AUXEDPS?", (45, 15, 15, 10, 8, 4, 1, 2))[0]
+            own = {
+                "A": lambda: {"symbol": symbol, "order_id": new(), "side": side if rng.random() > 0.02 else None, "quantity": q, "price": p},  # noqa: B023
+                "U": lambda: {"order_id": known(), "aux_id": new(), "quantity": q if rng.random() > 0.03 else None, "price": p},  # noqa: B023
+                "X": lambda: {"order_id": known(), "quantity": q if rng.random() > 0.03 else None},  # noqa: B023
+                "E": lambda: {"order_id": known(), "aux_id": i, "quantity": q},  # noqa: B023
+                "D": lambda: {"order_id": known() if rng.random() > 0.03 else None},
+                "P": lambda: {"symbol": symbol, "aux_id": i, "side": side, "quantity": q, "price": p},  # noqa: B023
+                "S": lambda: {"event_code": rng.choice("MCO")},
+            }.get(kind, dict)()
+            if losses and rng.random() < 0.01:
+                rows.append(e | {"msg_type": "L"})
+            rows.append(e | {"msg_type": kind} | own)
+    return spark.createDataFrame([tuple(r[n] for n in names) for r in rows], FEED)
+
+
+@pytest.mark.parametrize(("seed", "kw", "listed"), [(1, {"losses": False, "reuse": 0, "empty": 0}, True), (3, {"reuse": 0, "empty": 0.15}, True), (4, {}, True), (5, {"channels": 4}, False)])
+def test_joins_and_stretches_equal_the_machine(spark, seed, kw, listed):
+    feed = broken_feed(spark, seed, **kw).cache()
+    master = spark.createDataFrame([(s, c) for s in "ABC" for c in (0, 1)], "symbol string, channel int") if listed else None
+    folded, told = B.fold(feed, master).cache(), L.outcomes(feed, master).cache()
+    rows = lambda df, *c: sorted(map(str, df.select(*c).collect()))
+    assert rows(folded, *L.COLUMNS) == rows(told, *L.COLUMNS)
+    columns = ["channel", "symbol", "version", "sequence", "update_count", "flags"]
+    want = rows(folded.where("version IS NOT NULL"), *columns, B._structs("bids").alias("bids"), B._structs("asks").alias("asks"))
+    assert len(want) > 100 and rows(B.images(told, 9), *columns, "bids", "asks") == want
+
+
+def test_a_hot_symbol_is_walked_in_many_stretches(spark):
+    rows = [(0, i, i, i, "A", "HOT", i, None, "B" if i % 2 else "S", 100, 1000 - i % 40 if i % 2 else 1001 + i % 40, None) for i in range(1, 3001)]
+    feed = spark.createDataFrame(rows, FEED)
+    told = L.outcomes(feed, markers=False).cache()
+    one, many = (sorted(map(str, B.images(told, n).drop("bids", "asks").collect())) for n in (10**6, 100))
+    assert one == many
+    walked = B._dealt  # the rows that reach one task's group are bounded by the stretch
+    seen = []
+    B._dealt = lambda rows, depth: seen.append(rows.groupBy("channel", "symbol", "seg", "role").count().agg(F.max("count")).first()[0]) or walked(rows, depth)
+    try:
+        B.images(told, 100).count()
+    finally:
+        B._dealt = walked
+    assert seen[0] <= 100
+
+
+def test_levels_without_python(spark):
+    feed = broken_feed(spark, 2, losses=False)
+    plan = B.bbo(B.levels(B.level_deltas(L.outcomes(feed, markers=False))))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_rings_and_long_chains_of_replaces(spark):
+    rows = [(0, 1, 1, 1, "A", "A", 1, None, "B", 1, 1, None)] + [(0, i, i, i, "U", None, i - 1, i, None, 1, 1, None) for i in range(2, 40)]
+    rows += [(0, 50, 1, 1, "U", None, 77, 77, None, 1, 1, None), (0, 51, 1, 1, "U", None, 88, 89, None, 1, 1, None), (0, 52, 1, 1, "U", None, 89, 88, None, 1, 1, None)]
+    got = {r.order_id: (r.root, r.depth) for r in L.order_roots(spark.createDataFrame(rows, FEED)).collect()}
+    assert got == {i: (1, i - 1) for i in range(1, 40)}
+
+
+def test_running_values_cross_their_ranges(spark):
+    rows = [(k % 2, i, (i * 7919) % 101) for k, i in enumerate(random.Random(3).sample(range(5000), 400))]
+    df = spark.createDataFrame(rows, "k int, n long, v long")
+    for how, current in (("sum", True), ("sum", False), ("max", True), ("max", False)):
+        got = {(r.k, r.n): r.x for r in running(df, "x", ["k"], ["n"], F.col("v"), how, current, width=64).collect()}
+        for k, n, _ in rows:
+            seen = [v for j, m, v in rows if j == k and (m < n or (current and m == n))]
+            assert got[k, n] == (sum(seen) if how == "sum" else max(seen, default=None))

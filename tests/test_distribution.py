@@ -69,7 +69,7 @@ def test_subscribe_statuses(spark):
         (1, 4): ("Ok", 1), (1, 5): ("LimitExceeded", None), (2, 0): ("UnknownSymbol", None), (2, 1): ("Ok", S.INCREMENTAL), (3, 0): ("NotEntitled", None),
     }
     tried = spark.createDataFrame([("t1", 1), ("t1", 2), ("zz", 1)], "token string, protocol int")
-    assert sorted(r.status for r in D.logins(tried, clients).collect()) == ["BadVersion", "Ok", "UnknownToken"]
+    assert sorted(r.status for r in D.logins(tried, clients).collect()) == ["BadToken", "Ok", "VersionMismatch"]
 
 
 def images(spark, n=20):
@@ -103,3 +103,31 @@ def test_revocation_as_of(spark):
     asked = spark.createDataFrame([("t", 5), ("t", 10), ("t", 25), ("t", 40), ("x", 40)], "token string, at long")
     got = {(r.token, r["at"]): (r.version, r.venue_mask) for r in D.entitled_as_of(changes, asked).collect()}
     assert got == {("t", 5): (None, None), ("t", 10): (1, 3), ("t", 25): (None, None), ("t", 40): (3, 1), ("x", 40): (None, None)}
+
+
+def test_counts_without_fan_out_equal_the_fan_out(spark):
+    rows = [(0, "AB"[i % 2], i // 2 + 1, i * 13 % 997 + i * 40, i % 7, i % 5) for i in range(400)]
+    shown = spark.createDataFrame(rows, "channel int, symbol string, version long, sequence long, bid_levels int, ask_levels int")
+    subs = spark.createDataFrame([(c, s, [1, 2, 6][c % 3], c * 17 % 260) for c in range(30) for s in "AB"], "client_id int, symbol string, flags int, from_version long")
+    sent = D.updates(shown, subs)
+    want = sent.groupBy("client_id", "symbol").agg(F.count(F.lit(1)), F.sum("conflated_count"), F.max("conflated_count"))
+    assert sorted(map(tuple, D.update_counts(shown, subs).collect())) == sorted(map(tuple, want.collect()))
+    bytes_ = sent.join(shown.select("symbol", "version", "bid_levels", "ask_levels"), ["symbol", "version"]).groupBy("client_id").agg(F.count(F.lit(1)), F.sum(F.lit(44) + 16 * (F.col("bid_levels") + F.col("ask_levels"))))
+    assert sorted(map(tuple, D.delivered_bytes(shown, subs).collect())) == sorted(map(tuple, bytes_.collect()))
+
+
+def test_interest_ends_with_its_subscription(spark):
+    changes = spark.createDataFrame([(1, "A", 1, 0, "S", 2), (1, "A", 2, 5, "U", 0), (2, "A", 1, 3, "S", 2), (3, "B", 1, 0, "S", 2)], "client_id int, symbol string, at int, version long, kind string, flags int")
+    got = D.updates_while_subscribed(images(spark, 10), D.subscribed_intervals(changes)).collect()
+    assert sorted((r.client_id, r.version) for r in got) == [(1, v) for v in range(1, 6)] + [(2, v) for v in range(4, 11)]
+
+
+def test_log_that_is_off_records_nothing(spark):
+    assert D.publication_log(images(spark, 10), enabled=spark.createDataFrame([(1,)], "channel int")).count() == 0
+    assert D.publication_log(images(spark, 10), enabled=spark.createDataFrame([(0,)], "channel int")).count() == 10
+
+
+def test_admission_by_slots(spark):
+    rows = [(0, 1, 10, False), (0, 2, 11, False), (0, 3, 12, False), (0, 4, 10, True), (0, 5, 13, False)]
+    got = [r.status for r in D.admitted(spark.createDataFrame(rows, "fanout int, at long, client_id long, release boolean"), 2).orderBy("at").collect()]
+    assert got == ["Ok", "Ok", "CapacityExceeded", "Released", "CapacityExceeded"]

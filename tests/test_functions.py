@@ -5,8 +5,8 @@ from pyspark.sql import functions as F
 
 from quaylight.functions import histogram as H
 from quaylight.functions import market as M
-from quaylight.operators import books, sequencing
-from quaylight.sources import simulator
+from quaylight.operators import books, lifecycle, sequencing
+from quaylight.sources import simulator, wire
 
 
 def one(spark, column):
@@ -53,8 +53,11 @@ def test_simulated_flow_builds_sound_books(spark):
     flow = simulator.market(spark, instruments=5, messages=300)
     again = simulator.market(spark, instruments=5, messages=300).repartition(3)
     assert sorted(map(tuple, flow.collect()), key=str) == sorted(map(tuple, again.collect()), key=str)
-    out = books.fold(simulator.as_feed(flow)).cache()
-    s = books.stats(out, ()).first()
+    feed = simulator.as_feed(flow)
+    assert sequencing.gaps(feed.select("channel", F.col("sequence").alias("n"))).count() == 0 and feed.agg(F.min("sequence")).first()[0] == 1
+    assert wire.packed(feed).count() <= feed.count() // 8 + 4 * feed.select("channel").distinct().count()
+    out = lifecycle.outcomes(feed, markers=False).cache()
+    s = books.stats(out, books.images(out), ("channel",)).agg(*[F.sum(c).alias(c) for c in ("corrupt", "unknown_order", "trades", "suppressed")]).first()
     assert s.corrupt == 0 and s.unknown_order == 0 and s.trades > 0 and s.suppressed > 0
     assert books.level_history(books.level_deltas(out)).where("corrupt").count() == 0
     deltas = books.level_deltas(out)

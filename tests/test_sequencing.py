@@ -152,3 +152,20 @@ def test_batch_form(spark):
     assert {(r.gap_start, r.request_count) for r in plan.collect()} == {(4, 2), (11, 2)}
     held = spark.range(5, 30).selectExpr("0 AS channel", "id AS n")
     assert {(r.gap_start, r.served) for r in Q.served(plan, held, 1000).collect()} == {(4, 0), (11, 2)}
+
+
+def test_sessions_and_statistics(spark):
+    rows = [(0, 1, "a", 1, 3), (0, 2, "a", 4, 3), (0, 3, "a", 0, 0xFFFF), (0, 4, "a", 1, 2), (0, 5, "b", 9, 1), (0, 70_000, "b", 12, 1), (0, 70_001, "a", 1, 1)]
+    s = Q.in_sessions(spark.createDataFrame(rows, "channel int, arrival_no long, session string, first long, message_count int"))
+    assert [r.session_no for r in s.orderBy("arrival_no").collect()] == [1, 1, 1, 2, 3, 3, 4]
+    live = s.where("message_count <> 65535").selectExpr("*", "false AS rejected")
+    kinds = [r.kind for r in Q.classified(live, ["channel", "session_no"]).orderBy("arrival_no").collect()]
+    assert kinds == ["in_order", "in_order", "in_order", "in_order", "ahead", "in_order"]
+    a = spark.createDataFrame([(0, 1, 1, 3, "L", False), (0, 2, 7, 3, "L", False), (0, 3, 1, 3, "L", False), (0, 9, 4, 2, "R", False), (0, 12, 6, 1, "R", True)], ARRIVALS)
+    assert tuple(Q.feed_statistics(a).first()) == (0, 3, 8, 2, 1, 1, 1, 1, 1)
+
+
+def test_reordering_within_the_grace_asks_for_nothing(spark):
+    a = spark.createDataFrame([(0, 1, 1, 3, "L", False), (0, 2, 7, 3, "L", False), (0, 5, 4, 3, "L", False), (0, 6, 20, 1, "L", False), (0, 50, 14, 2, "L", False)], ARRIVALS)
+    assert {tuple(r) for r in Q.detected_gaps(a).collect()} == {(0, 2, 4, 3), (0, 6, 10, 10)}
+    assert {tuple(r) for r in Q.detected_gaps(a, grace=10).collect()} == {(0, 6, 10, 10)}

@@ -1,5 +1,7 @@
 """The stateful stream operators give the batch operators' rows, over several micro-batches."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -29,9 +31,8 @@ def rocks(spark):
 
 def test_books(spark, rocks, tmp_path):
     feed = simulator.as_feed(simulator.market(spark, instruments=3, messages=120)).cache()
-    for k, (lo, hi) in enumerate(((0, 60), (60, 10**9))):
-        step = F.floor(F.col("sequence") / 1_000_000)
-        feed.where((step >= lo) & (step < hi)).coalesce(1).write.parquet(str(tmp_path / "in" / f"part={k}"))
+    for k, (lo, hi) in enumerate(((0, 60), (60, 110), (110, 10**9))):
+        feed.where((F.col("sequence") >= lo) & (F.col("sequence") < hi)).coalesce(1).write.parquet(str(tmp_path / "in" / f"part={k}"))
     source = spark.readStream.schema(feed.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/part=*")
     got = drain(stateful.book_stream(source), "streamed_books", tmp_path)
     columns = ["channel", "sequence", "status", "symbol", "price", "dq", "dn", "trade_quantity", "version", "flags", "bids", "asks"]
@@ -55,6 +56,25 @@ def test_sequencer(spark, rocks, tmp_path):
     assert [r.gap_before for r in rows if r.sequence == 12] == [True]
 
 
+def test_a_quiet_channel_asks_and_gives_up_by_its_timers(spark, rocks, tmp_path):
+    schema = "channel int, arrival_no long, now_ns long, session string, first long, message_count int, source string, payload string"
+    folder = str(tmp_path / "q")
+    send = lambda *rows: spark.createDataFrame(list(rows), schema).coalesce(1).write.mode("append").parquet(folder)
+    send((0, 1, 0, "AM", 1, 1, "L", "m1"), (0, 2, 0, "AM", 4, 1, "L", "m4"))
+    source = spark.readStream.schema(schema).parquet(folder)
+    stream = stateful.sequence_stream(source, Config(grace_ns=200_000_000, deadline_ns=2_000_000_000), live=True)
+    q = stream.writeStream.format("memory").queryName("quiet").outputMode("append").trigger(processingTime="100 milliseconds").option("checkpointLocation", str(tmp_path / "qc")).start()
+    try:
+        for _ in range(100):
+            rows = spark.table("quiet").collect()
+            if any(r.event == "loss" for r in rows):
+                break
+            time.sleep(0.3)
+    finally:
+        q.stop()
+    assert [(r.event, r.sequence, r.message_count) for r in rows] == [("message", 1, 1), ("request", 2, 2), ("loss", 2, 2), ("message", 4, 1)]
+
+
 def test_conflation(spark, tmp_path):
     images = spark.range(1, 6).select(F.lit("A").alias("symbol"), F.col("id").alias("version"), F.col("id").alias("sequence"))
     images.coalesce(1).write.parquet(str(tmp_path / "i"))
