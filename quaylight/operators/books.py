@@ -17,6 +17,7 @@ from bisect import bisect_left, insort
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -318,7 +319,7 @@ def _structs(flat: str) -> Column:
 
 
 #: Changes of a symbol that one stretch has.
-SEGMENT = 1 << 14
+SEGMENT = 1 << 15
 
 
 def images(outcome: DataFrame, segment: int = SEGMENT, depth: int = S.DEPTH) -> DataFrame:
@@ -342,7 +343,7 @@ def images(outcome: DataFrame, segment: int = SEGMENT, depth: int = S.DEPTH) ->
     shown = walked.where("role = 1").join(totals, [*key, "seg"])
     return shown.select(
         *key, (F.col("version") + F.col("v0")).alias("version"), "sequence", "exchange_ns", "ingest_ns", (F.col("update_count") + F.col("u0")).alias("update_count"),
-        (F.size("bids") / 3).cast("int").alias("bid_levels"), (F.size("asks") / 3).cast("int").alias("ask_levels"), "flags", _structs("bids").alias("bids"), _structs("asks").alias("asks"),
+        F.size("bids").alias("bid_levels"), F.size("asks").alias("ask_levels"), "flags", "bids", "asks",
     )
 
 
@@ -366,7 +367,8 @@ def _bases(rows: DataFrame, key: list[str]) -> DataFrame:
     return begun.withColumn("role", F.lit(0)).withColumn("sequence", F.lit(0).cast("long")).withColumn("late", F.lit(0))
 
 
-_IMAGES = "channel int, symbol string, seg long, role int, version long, sequence long, exchange_ns long, ingest_ns long, update_count long, flags int, bids array<long>, asks array<long>"
+_IMAGES = "channel int, symbol string, seg long, role int, version long, sequence long, exchange_ns long, ingest_ns long, update_count long, flags int"
+_LEVELS = "array<struct<price:long,quantity:long,order_count:long>>"
 
 
 def _dealt(rows: DataFrame, depth: int) -> DataFrame:
@@ -390,8 +392,10 @@ def _dealt(rows: DataFrame, depth: int) -> DataFrame:
             yield out.batch()
 
     key = ["channel", "symbol", "seg"]
-    dealt = rows.repartition(*key).sortWithinPartitions(*key, "role", "sequence", "late", "kind")
-    return dealt.select(*key, "role", "sequence", "kind", "side", "price", "dq", "dn", "price2", "dq2", "dn2", "corrupt", "exchange_ns", "ingest_ns").mapInArrow(run, _IMAGES)
+    # Stretches differ in length; more tasks than shuffle partitions even that out.
+    parts = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartition(parts, *key).sortWithinPartitions(*key, "role", "sequence", "late", "kind")
+    return dealt.select(*key, "role", "sequence", "kind", "side", "price", "dq", "dn", "price2", "dq2", "dn2", "corrupt", "exchange_ns", "ingest_ns").mapInArrow(run, f"{_IMAGES}, bids {_LEVELS}, asks {_LEVELS}")
 
 
 class _Rows:
@@ -410,10 +414,14 @@ class _Rows:
 
     def batch(self) -> pa.RecordBatch:
         names, kinds = zip(*(c.split() for c in _IMAGES.split(", ")))
-        columns = list(zip(*self.heads)) if self.heads else [[] for _ in names[:-2]]
+        columns = list(zip(*self.heads)) if self.heads else [[] for _ in names]
         heads = [pa.array(c, _TYPES[k]) for c, k in zip(columns, kinds)]
-        lists = [pa.ListArray.from_arrays(pa.array(e, pa.int32()), pa.array(f, pa.int64())) for f, e in zip(self.levels, self.ends)]
-        return pa.RecordBatch.from_arrays([*heads, *lists], names=list(names))
+        lists = []
+        for flat, ends in zip(self.levels, self.ends):
+            cells = np.array(flat, np.int64).reshape(-1, 3)
+            levels = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(cells[:, k])) for k in range(3)], names=["price", "quantity", "order_count"])
+            lists.append(pa.ListArray.from_arrays(pa.array(np.array(ends, np.int64) // 3, pa.int32()), levels))
+        return pa.RecordBatch.from_arrays([*heads, *lists], names=[*names, "bids", "asks"])
 
 
 class _Walk:

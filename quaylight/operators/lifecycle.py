@@ -124,9 +124,9 @@ def outcomes(feed: DataFrame, instruments: DataFrame | None = None, markers: boo
 
     used = lives.where("NOT mint AND alive").join(real, ["channel", "birth"]).select("channel", "sequence", "of", "rests", "left", "at", (F.col("epoch") != F.col("born")).alias("lost"))
     # A failed replace with the id of an order: what comes after means the older order.
-    shadows = lives.where("mint AND msg_type = 'U' AND life > 1").join(real.select("channel", F.col("birth").alias("sequence")), ["channel", "sequence"], "left_anti").select("channel").distinct()
-    odd = checkpointed(shadows)
-    if odd.limit(1).count():
+    reused = lives.where("mint AND msg_type = 'U' AND life > 1")
+    shadows = reused.join(real.select("channel", F.col("birth").alias("sequence")), ["channel", "sequence"], "left_anti").select("channel").distinct()
+    if reused.limit(1).count() and (odd := checkpointed(shadows)).limit(1).count():
         from quaylight.operators.books import fold
 
         again = fold(feed.join(odd, "channel", "left_semi"), instruments).where(~F.col("status").isin("stale", "halted"))
@@ -170,9 +170,10 @@ def _settled(found: DataFrame) -> DataFrame:
     # One explode, not a union: over a union of joins a repartition by their keys can be taken for done.
     parts = F.array(F.struct(F.lit(0).alias("part"), F.col("price").alias("at"), "dq", "dn"), F.struct(F.lit(1).alias("part"), F.col("price2").alias("at"), F.col("dq2").alias("dq"), F.col("dn2").alias("dn")))
     deltas = found.where("status = 'applied'").select("channel", "symbol", "side", "epoch", "sequence", F.explode(F.filter(parts, lambda x: x["at"].isNotNull())).alias("d")).select("channel", "symbol", "side", "epoch", "sequence", "d.*")
-    empty = checkpointed(found.where("status = 'applied' AND (dn > 0 AND dq <= 0 OR dq2 <= 0)").select(F.explode(F.array(F.struct("channel", "symbol", "side", F.col("price").alias("at"), "epoch"), F.struct("channel", "symbol", "side", F.col("price2").alias("at"), "epoch"))).alias("l")).select("l.*").where("at IS NOT NULL").distinct())
-    if not empty.limit(1).count():
+    sizeless = "status = 'applied' AND (dn > 0 AND dq <= 0 OR dq2 <= 0)"
+    if not found.where(sizeless).limit(1).count():
         return found.drop("epoch")
+    empty = checkpointed(deltas.where("dn > 0 AND dq <= 0").select(*level).distinct())
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, quantity, orders = None, 0, 0
