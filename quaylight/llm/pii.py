@@ -1,16 +1,17 @@
 """Personal data: fixed patterns, and a linear-chain conditional random field over word-shape features.
 
-The field is trained here from a small labelled table (marked sentences and invented prose without any personal data),
-by the gradient of its log-likelihood (forward-backward). Texts are decoded by Viterbi over batches of lines in numpy.
+The field is trained here, once in a process, from a small labelled table (frames filled from short lists, and prose
+without any personal data) by the gradient of its log-likelihood (forward-backward). Texts are decoded by Viterbi over batches of lines in numpy.
 It adds names, street addresses and document numbers, which have no fixed form; what overlaps a pattern's span is left out.
 
 Defined results: a null text is an empty one and has no spans; offsets are code points, end exclusive; a sequence is a
-whole line, however long; every row gives one row, repeated ones too; an empty table gives no rows;
-only doc_id and text are read.
+whole line, however long, and a text of any length is decoded whole; every row gives one row, repeated ones too; an empty
+table gives no rows; only doc_id and text are read, other columns may have any names.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 
@@ -34,102 +35,109 @@ LABELS = ("O", "B-name", "I-name", "B-address", "I-address", "B-id", "I-id")
 #: Up to so many sequences, a step of the decoding takes all pairs of labels in one array.
 FEW = 128
 
-# The labelled table: marked spans are [kind words].
-SENTENCES = """
-My name is [name Maria Keller] and I live in the north.
-My name is [name Jonas Lindqvist].
-Her name is [name Aiko Tanaka], she said.
-His name is [name Peter Novak] and he works here.
-Dear Mr. [name Thomas Berger], thank you for the letter.
-Dear Mrs. [name Elena Rossi],
-Dear Dr. [name Samuel Okafor], we write to you today.
-Dear Ms. [name Clara Jensen], the order has shipped.
-Please contact Mr. [name David Cohen] for help.
-Please contact Dr. [name Ines Moreau] at the office.
-Signed by Ms. [name Lucia Fernandez] on Monday.
-Signed by Mr. [name Ivan Petrov].
-The report was sent to Mrs. [name Hannah Weber] last week.
-The letter was written by Dr. [name Omar Haddad].
-We spoke with Mr. [name Lars Nilsson] about it.
-We spoke with Mrs. [name Julia Braun] and Mr. [name Paul Meyer] there.
-Patient name: [name Robert Lang], seen today.
-Customer name: [name Anna Kowalska]
-Full name: [name George Miller]
-She lives at [address 12 Maple Street] in town.
-He lives at [address 480 Oak Avenue] now.
-They live at [address 7 Church Lane] by the river.
-Ship the box to [address 221 Station Road] today.
-Send it to [address 39 Garden Street], please.
-The office is at [address 1500 Lake Drive] since May.
-Visit us at [address 64 Mill Road] or call.
-My address is [address 88 Harbour Street] in the old town.
-Home address: [address 5 Hill Avenue]
-Billing address: [address 917 Park Drive]
-Her SSN is [id 412-55-9087] on file.
-His SSN is [id 501-22-7610].
-SSN: [id 233-84-1192]
-SSN: [id 678-30-4451], verified.
-Passport number [id X4471902] was checked.
-Passport number [id C01X77K2H] expired.
-Passport number: [id L8823017]
-The passport number is [id P7745120] she wrote.
-The meeting starts on Monday at the office.
-The Street was empty and the road was long.
-We live in a small town near the Lake.
-Version 3 of the General Public License applies here.
-Licensed under the Apache License, Version 2.0 as given.
-Released under CC BY-SA 4.0 terms of use.
-Call the number on the letter today.
-The name of the river is not known.
-Dear all, the report is on file.
-Chapter 12 The Road To The North
-Table 7 shows 480 rows and 39 columns.
-It cost 1500 in May and 64 in June.
-The number is 917 in the table.
-On 12 May The Lake was calm.
-It was the 5 of March when The Rain came.
-token = 9f3a77b0c1d2e4
-Contact us at the office or by letter.
+# The labelled table: frames with slots (n a name, f a family name, t a title, a an address, c a town, s and p document
+# numbers) that are filled from short lists, and lines without personal data. Half of the names are made up, so that
+# frames and shapes count and not only known names.
+FRAMES = """
+My name is {n} and I live in the north.|My name is {n}.|Her name is {n}, she said.|His name is {n} and he works here.|I am {n} from {c}.|This is {n} speaking.
+Dear {t} {n}, thank you for the letter.|Dear {t} {f},|Dear {n}, the order has shipped.|Hello {n}, how are you today?|Please contact {t} {n} for help.|Please contact {n} at the office.
+Signed by {t} {n} on Monday.|Signed by {n}.|Signed, {n}|Sincerely, {n}|Kind regards, {n}|Best wishes from {n}|The report was sent to {t} {n} last week.|The letter was written by {n}.
+We spoke with {t} {n} about it.|We spoke with {n} and {n} there.|Patient name: {n}, seen today.|Patient: {n}|Customer name: {n}|Customer: {n}|Full name: {n}|Name: {n}|Author: {n}|Contact: {n}, {a}, {c}|Contact person: {n}
+I saw {n} yesterday in {c}.|We met {n} last week.|They met {n} in {c} on Monday.|She called {n} this morning.|He married {n} in May.|I asked {n} about the house.|We thank {n} for the help.|The boy told {n} a story.
+{n} works at the office.|{n} called me on Monday.|{n} was born in {c}.|{n} and {n} went home.|{n} lives in {c}.|{n} lives at {a}.|{n} said that the road was long.|{n}, born in May, came back.
+{t} {n} is not here.|{t} {f} was at the meeting.|according to {n}, it rained.|a letter to {n} about the garden|the son of {n} came|{t} {f} and {t} {f} were late.
+She lives at {a} in town.|He lives at {a} now.|They live at {a} by the river.|Ship the box to {a} today.|Send it to {a}, please.|Deliver to {a}, {c}|The office is at {a} since May.|Visit us at {a} or call.
+My address is {a} in the old town.|Home address: {a}|Billing address: {a}|Address: {a}, {c}|The house at {a} was sold.|He moved to {a} last year.|{a}, {c}|from {a} to the river|She was seen near {a} on Monday.
+Her SSN is {s} on file.|His SSN is {s}.|SSN: {s}|SSN {s}|SSN: {s}, verified.|SSN {s} is that of {n}.|social security number {s}|My social security number is {s}, he wrote.|The SSN {s} was given by {n}.
+Passport number {p} was checked.|Passport number: {p}|Passport no. {p}|passport no. {p} expired|The passport number is {p} she wrote.|Passport {p} of {n}|ID card {p}|ID number: {p}|Driver licence {p} was shown.
 """
-_SHAPE = [(re.compile(p), s) for p, s in ((rb"[A-Z]+", b"X"), (rb"[a-z]+", b"x"), (rb"[0-9]{3,}", b"D"), (rb"[0-9]+", b"d"), (rb"[\x80-\xff]+", b"x"))]
+GIVEN = "Maria Jonas Aiko Peter Thomas Elena Samuel Clara David Ines Lucia Ivan Hannah Omar Lars Julia Paul Robert Anna George Karl Nina Ahmed Grace Victor Sofia Leon Emma Hugo Laura Felix Rosa Simon Eva Martin Alice"
+FAMILY = "Keller Lindqvist Tanaka Novak Berger Rossi Okafor Jensen Cohen Moreau Fernandez Petrov Weber Haddad Nilsson Braun Meyer Lang Kowalska Miller Fischer Dubois Larsen Silva Andersen Costa Murray Walker Schmidt Richter"
+STREETS = "Maple Oak Church Station Garden Lake Mill Harbour Hill Park Cedar Bridge King Queen River Market School Castle West North Elm Birch"
+WAYS = "Street Avenue Lane Road Drive Court Way Place Square Close"
+TOWNS = "Berlin London Paris Madrid Vienna Oslo Boston Lisbon Dublin Prague"
+TITLES = "Mr. Mrs. Ms. Dr. Prof."
+NOTHING = """
+The meeting starts on Monday at the office.|The Street was empty and the road was long.|We live in a small town near the Lake.|Version 3 of the General Public License applies here.
+Licensed under the Apache License, Version 2.0 as given.|Released under CC BY-SA 4.0 terms of use.|Call the number on the letter today.|The name of the river is not known.|Dear all, the report is on file.
+Chapter 12 The Road To The North|Table 7 shows 480 rows and 39 columns.|It cost 1500 in May and 64 in June.|The number is 917 in the table.|On 12 May The Lake was calm.|It was the 5 of March when The Rain came.
+token = 9f3a77b0c1d2e4|Contact us at the office or by letter.|In London the rain fell on Monday.|The Bank of the North opened in May.|They went to Paris and to Berlin.|Permission is hereby granted, free of charge, to any person
+Copyright 2019 The Authors. All Rights Reserved.|THIS SOFTWARE IS PROVIDED AS IS|The Queen Of The River is a ship.|Monday and Tuesday are free.|See Section 4 of the Report.|Room 12 On The Left|The King spoke to the people.
+He said that Spring Is Here.|Order 88 was sent in June.|She has 12 Red Boxes and 7 Blue Ones.|The address is not known.|Passport control is on the left.|Customer service is open.|The Garden was green, and Summer came.|Market day is on Friday.
+"""
+_SHAPE = [(re.compile(p), s) for p, s in ((rb"[A-Z]+", b"X"), (rb"[a-z]+", b"x"), (rb"[0-9]{3,}", b"D"), (rb"[0-9]+", b"d"), (rb"[\x80-\xff]+", b"x"), (rb"[!\"#$%&*+/<=>?@\[\]^_`{|}~\\]+", b"!"))]
 _RUN = re.compile(rb"(.)\1+")
 _CORE = re.compile(rb"[^A-Za-z]+")
 
 
 def shape(word: bytes) -> bytes:
-    """Runs of capitals, small letters, short and long digits as one sign each, other signs once, at most 12."""
+    """Runs of capitals, small letters, short and long digits as one sign each, marks as !, other signs once, at most 12."""
     for pattern, sign in _SHAPE:
         word = pattern.sub(sign, word)
     return _RUN.sub(rb"\1", word)[:12]
 
 
-def _labelled() -> list[tuple[list[bytes], list[int]]]:
-    table = []
-    for line in SENTENCES.strip().split("\n"):
-        words, labels = [], []
-        for part in re.findall(r"\[(\w+) ([^\]]*)\]|(\S+)", line.replace("],", "] ,").replace("].", "] .")):
-            if part[0]:
-                for k, w in enumerate(part[1].split()):
-                    words.append(w)
-                    labels.append(LABELS.index(("I-" if k else "B-") + part[0]))
-            elif part[2] in ",." and words:
-                words[-1] += part[2]
-            else:
-                words.append(part[2])
-                labels.append(0)
-        table.append(([w.encode() for w in words], labels))
+Sequence = tuple[list[bytes], list[int]]
+
+
+def _marked(parts: list[tuple[str, str]]) -> Sequence:
+    """Words and labels of a line of (text, kind or nothing) parts; a mark at a span's end stays on its last word."""
+    words: list[str] = []
+    labels: list[int] = []
+    for text, kind in parts:
+        glued = bool(words) and bool(text) and not text[0].isspace() and not kind
+        for k, w in enumerate(text.split()):
+            if k == 0 and glued and labels:
+                words[-1] += w
+                continue
+            words.append(w)
+            labels.append(LABELS.index(("I-" if k else "B-") + kind) if kind else 0)
+    return [w.encode() for w in words], labels
+
+
+def _made_up(rng: np.random.Generator, syllables: list[str]) -> str:
+    return "".join(rng.choice(syllables, int(rng.integers(2, 4)))).capitalize()
+
+
+def _filled(frame: str, rng: np.random.Generator, syllables: list[str]) -> Sequence:
+    """A frame with its slots filled."""
+    pick = lambda words: str(rng.choice(words.split()))
+    own = lambda words: pick(words) if rng.random() < 0.5 else _made_up(rng, syllables)
+    digits = lambda n: "".join(map(str, rng.integers(0, 10, n)))
+    letter = lambda: chr(65 + int(rng.integers(0, 26)))
+    fill = {
+        "n": lambda: " ".join([own(GIVEN), *([letter() + "."] if rng.random() < 0.1 else []), own(FAMILY)]),
+        "f": lambda: own(FAMILY),
+        "t": lambda: pick(TITLES),
+        "a": lambda: f"{rng.integers(1, 10 ** int(rng.integers(1, 5)))} {own(STREETS)} {pick(WAYS)}",
+        "c": lambda: pick(TOWNS),
+        "s": lambda: f"{digits(3)}-{digits(2)}-{digits(4)}",
+        "p": lambda: (letter() + digits(7), letter() + digits(8), letter() + digits(2) + letter() + digits(2) + letter() + digits(1) + letter())[int(rng.integers(0, 3))],
+    }
+    kinds = {"n": "name", "f": "name", "a": "address", "s": "id", "p": "id"}
+    return _marked([(fill[x[1]](), kinds.get(x[1], "")) if x[:1] == "{" else (x, "") for x in re.split(r"(\{\w\})", frame) if x])
+
+
+def _labelled(fills: int = 8, plain: int = 1800) -> list[Sequence]:
+    """The training table: each frame filled `fills` times, the lines without personal data, and invented prose."""
     rng = np.random.default_rng(6)
-    syllables = "an the er on ti re in es or ha sta lo mi che de ra ou ver ge ment ar".split()
-    ends = ["", "", "", "", "", ",", ".", "!!", "###", "&&&", "%%%", "$$$", " |"]
-    common = sorted({re.sub(r"\W", "", w.decode()).lower() for words, labels in table for w, y in zip(words, labels) if y == 0} - {"mr", "mrs", "ms", "dr", "ssn", ""})
-    for k in range(700):  # invented prose in every casing, with numbers and common words in it: no personal data
+    syllables = "an the er on ti re in es or ha sta lo mi che de ra ou ver ge ment ar bo ku wen sil dra".split()
+    table = [_filled(f, rng, syllables) for f in re.split(r"[|\n]", FRAMES.strip()) for _ in range(fills)]
+    nothing = re.split(r"[|\n]", NOTHING.strip())
+    table += [_marked([(line, "")]) for line in nothing for _ in range(3)]
+    common = sorted({re.sub(r"\W", "", w.decode()).lower() for words, labels in table for w, y in zip(words, labels) if y == 0} - {"mr", "mrs", "ms", "dr", "prof", "ssn", ""})
+    marks = "!\"#$%&'()*+,-./:;<=>?@[]^_|~"
+    for k in range(plain):  # prose in every casing, with numbers, marks and common words in it: no personal data
         words = []
         for _ in range(int(rng.integers(3, 16))):
             w = "".join(rng.choice(syllables, int(rng.integers(1, 5)))) if rng.random() < 0.5 else str(rng.choice(common))
-            w = w.upper() if k % 5 == 0 else w.capitalize() if rng.random() < (0.25, 0.6, 0.1)[k % 3] else w
+            begins = not words or words[-1][-1] in ".!?"
+            w = w.upper() if k % 5 == 0 else w.capitalize() if rng.random() < (0.9 if begins and k % 2 else (0.25, 0.6, 0.1)[k % 3]) else w
             if rng.random() < 0.06:
                 w = str(rng.integers(0, 10 ** int(rng.integers(1, 17))))
-            words += (w + ends[int(rng.integers(0, len(ends))) if k % 2 == 0 else int(rng.integers(0, 7))]).split()
+            if rng.random() < (0.1, 0.15, 0.2, 0.7)[k % 4]:  # every fourth line is full of marks
+                w += rng.choice([",", "."]) if rng.random() < 0.5 else (rng.choice([",", "."]) if rng.random() < 0.3 else "") + rng.choice(list(marks)) * int(rng.integers(1, 4))
+            words.append(w)
         if k % 7 == 0:  # and lines of repeated words
             words = [w for w in words[:4] for _ in range(int(rng.integers(2, 6)))]
         table.append(([w.encode() for w in words], [0] * len(words)))
@@ -209,19 +217,28 @@ def viterbi(scores: np.ndarray, starts: np.ndarray, lengths: np.ndarray, move: n
     return labels
 
 
-def train(rounds: int = 120, rate: float = 0.3, decay: float = 2e-4) -> Field:
+@functools.lru_cache(maxsize=1)
+def trained() -> Field:
+    """The field, trained once in a process."""
+    return train()
+
+
+def train(rounds: int = 250, rate: float = 0.3, decay: float = 2e-4) -> Field:
     """Maximum likelihood with a small L2 penalty, by Adam on the whole table."""
     table = _labelled()
     shapes: dict[bytes, int] = {b"<edge>": 0, b"<other>": 1}
     counts: dict[bytes, int] = {}
+    seen: dict[bytes, int] = {}
     for words, labels in table:
         for w, y in zip(words, labels):
-            shapes.setdefault(shape(w), len(shapes))
+            seen[shape(w)] = seen.get(shape(w), 0) + 1
             core = _CORE.sub(b"", w).lower()
             counts[core] = counts.get(core, 0) + (y == 0)
-    marked = {_CORE.sub(b"", w).lower() for words, labels in table[: SENTENCES.strip().count("\n") + 1] for w in words}
-    streets = {b"street", b"avenue", b"lane", b"road", b"drive"}
-    lexicon = {w: k + 1 for k, w in enumerate(sorted({w for w in marked if w and counts.get(w, 0) >= 2} | streets))}
+    for form, times in seen.items():  # the rare ones teach what an unseen shape is
+        if times >= 4:
+            shapes.setdefault(form, len(shapes))
+    streets = {w.lower().encode() for w in WAYS.split()}
+    lexicon = {w: k + 1 for k, w in enumerate(sorted({w for w, c in counts.items() if w and c >= 3 and len(w) < 12} | streets | {w.lower().encode() for w in GIVEN.split()}))}
     n, size = len(LABELS), max(len(shapes), len(lexicon) + 1)
     field = Field(shapes, lexicon, np.zeros((6, size, n)), np.zeros((n, n)))
     lengths = np.array([len(w) for w, _ in table])
@@ -237,29 +254,37 @@ def train(rounds: int = 120, rate: float = 0.3, decay: float = 2e-4) -> Field:
         if step:
             edge = starts if step == 1 else starts + lengths - 1
             ns[edge], nw[edge] = 0, 0
-        parts += [ns, nw]
+        for values in (ns, nw):  # sums by feature: rows in feature order, where each begins, which it is
+            order = np.argsort(values, kind="stable")
+            firsts = np.flatnonzero(np.diff(values[order], prepend=-1))
+            parts.append((order, firsts, values[order][firsts]))
     moments = [np.zeros_like(field.emit), np.zeros_like(field.emit), np.zeros_like(field.move), np.zeros_like(field.move)]
     longest = int(lengths.max())
     grid = np.minimum(starts[:, None] + np.arange(longest), len(gold) - 1)
     alive = np.arange(longest) < lengths[:, None]
     for r in range(1, rounds + 1):
         e = field.scores(ids, starts).T[grid]  # sequences, steps, labels
-        alpha, beta = np.zeros_like(e), np.zeros_like(e)
-        alpha[:, 0] = e[:, 0]
-        for t in range(1, longest):
-            alpha[:, t] = np.logaddexp.reduce(alpha[:, t - 1, :, None] + field.move, axis=1) + e[:, t]
+        # Forward and backward in scaled probabilities: every step of alpha sums to 1, scale holds by how much.
+        e = np.exp(e - e.max(2, keepdims=True))
+        step = np.exp(field.move - field.move.max())
+        alpha, beta, scale = np.empty_like(e), np.ones_like(e), np.ones(e.shape[:2])
+        for t in range(longest):
+            now = e[:, t] if t == 0 else alpha[:, t - 1] @ step * e[:, t]
+            scale[:, t] = now.sum(1)
+            alpha[:, t] = now / scale[:, t, None]
+        ahead = np.zeros_like(e)  # what the next step brings: its emission, its beta and its scale
         for t in range(longest - 2, -1, -1):
-            after = np.logaddexp.reduce(field.move + (beta[:, t + 1] + e[:, t + 1])[:, None, :], axis=2)
-            beta[:, t] = np.where(alive[:, t + 1, None], after, 0)
-        total = np.logaddexp.reduce(alpha[np.arange(len(lengths)), lengths - 1], axis=1)
-        each = np.exp(alpha + beta - total[:, None, None])[alive]
+            ahead[:, t] = e[:, t + 1] * beta[:, t + 1] / scale[:, t + 1, None]
+            beta[:, t] = np.where(alive[:, t + 1, None], ahead[:, t] @ step.T, 1)
+        each = (alpha * beta)[alive]
         grad = np.zeros_like(field.emit)
         error = -each
         error[np.arange(len(gold)), gold] += 1
         for k, part in enumerate(parts):
-            np.add.at(grad[k], part, error)
-        pair = alpha[:, :-1, :, None] + field.move + (beta[:, 1:] + e[:, 1:])[:, :, None, :] - total[:, None, None, None]
-        move = -np.exp(pair[alive[:, 1:]]).sum(0)
+            order, firsts, ids_of = part
+            grad[k][ids_of] = np.add.reduceat(error[order], firsts, axis=0)
+        on = alive[:, 1:]
+        move = -step * (alpha[:, :-1][on].T @ ahead[:, :-1][on])
         np.add.at(move, (gold[:-1][inner[1:]], gold[1:][inner[1:]]), 1)
         for value, g, m, v in ((field.emit, grad, *moments[:2]), (field.move, move, *moments[2:])):
             g = g / len(table) - decay * value
@@ -364,8 +389,8 @@ def find(texts: list[str], field: Field) -> list[tuple[list[Span], list[Span]]]:
 
 def find_pii(docs: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans."""
-    trained = train()
-    weights = (trained.shapes, trained.lexicon, trained.emit, trained.move)
+    field = trained()
+    weights = (field.shapes, field.lexicon, field.emit, field.move)
 
     def state() -> Field:
         store = worker_store("pii")
