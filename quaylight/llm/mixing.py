@@ -6,8 +6,9 @@ cut at the total budget.
 
 Defined results: a null text has size 0 and takes nothing; sources are ranked by code point, null last, and null is a
 source of its own; ties of the shuffle key are broken by doc_id, then by content, and rows equal in all of these are
-interchangeable; every input row gives one row, repeated ones too; an empty table gives no rows; a source without words
-has target 0. Reruns agree: nothing depends on the partitioning.
+interchangeable; every input row gives one row, repeated ones too; a text of any length counts whole; an empty table
+gives no rows; a source without words has target 0; columns besides doc_id, text and source may have any names. Reruns
+agree: nothing depends on the partitioning.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quaylight.llm.common import staged, word_count
+from quaylight.llm.common import WORD, staged, word_count
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -23,6 +24,8 @@ MAX_REPEATS = 2
 #: Slices of a source's shuffled order, and of virtual time: sums go over slices first, so no source is one group.
 SLICES = 512
 TIME_SLICES = 4096
+#: Sources up to this number have their places broadcast, about 200 bytes each.
+SOURCES = 100_000
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, repeats: int = MAX_REPEATS) -> DataFrame:
@@ -56,11 +59,15 @@ def _flow() -> Column:
     return F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
 
 
+def _key() -> Column:
+    """Where a document stands in its source's shuffled order."""
+    return F.md5(F.concat_ws(":", F.lit("mix"), F.col("doc_id").cast("string")))
+
+
 def sized(docs: DataFrame, content: Column | None = None) -> DataFrame:
     """doc_id, source, flow, size, key, mark for each row of docs; mark names the content where ids repeat."""
     mark = F.xxhash64(F.coalesce(F.col("text"), F.lit(""))) if content is None else content
-    key = F.md5(F.concat_ws(":", F.lit("mix"), F.col("doc_id").cast("string")))
-    return docs.select("doc_id", "source", _flow().alias("flow"), word_count(F.col("text")).alias("size"), key.alias("key"), mark.alias("mark"))
+    return docs.select("doc_id", "source", _flow().alias("flow"), word_count(F.col("text")).alias("size"), _key().alias("key"), mark.alias("mark"))
 
 
 def queue(sizes: DataFrame) -> DataFrame:
@@ -130,20 +137,46 @@ def mix_plan(docs: DataFrame) -> DataFrame:
 def mixed(docs: DataFrame) -> DataFrame:
     """The rows of docs as the mix takes them: rows not taken go, rows taken twice come twice.
 
-    The plan is joined to the texts by id, source and content; rows equal in all three share their copies out."""
+    A source's documents are taken in the order of their key: twice up to one place, once up to another. These places, a
+    row for each source, are broadcast to the scan of the texts, so that no text is moved. Only rows that are equal in
+    key, id and content and stand at such a place share their copies out between them. With more than SOURCES sources
+    the plan is joined to the texts by key instead."""
     rows = staged(queue(staged(sized(docs), "mix-sizes")), "mix-queue")
-    plan = rows.withColumn("copies", _copies(cut(rows))).groupBy("doc_id", "flow", "mark").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows")).where("copies > 0")
-    plan = plan.withColumn("id", F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).drop("doc_id")
+    rows = rows.withColumn("copies", _copies(cut(rows)))
+    place = F.struct("key", "doc_id", "mark")
+    ends = staged(rows.where("size > 0").groupBy("flow").agg(F.max(F.when(F.col("copies") > 1, place)).alias("twice"), F.max(F.when(F.col("copies") > 0, place)).alias("once")), "mix-ends")
     columns = docs.columns
+    names = [f"c{i}" for i in range(len(columns))]
+    mark = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
     held = docs.select(
-        *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)],
-        F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("id"), _flow().alias("flow"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("mark"),
+        *[F.col(f"`{c}`").alias(n) for c, n in zip(columns, names)], _flow().alias("flow"),
+        F.struct(_key().alias("key"), F.col("doc_id").alias("doc_id"), mark.alias("mark")).alias("place"), F.coalesce(F.col("text").rlike(WORD), F.lit(False)).alias("full"),
     )
-    joined = held.join(plan, ["id", "flow", "mark"])
-    ordinal = F.row_number().over(Window.partitionBy("id", "flow", "mark").orderBy("id")) - 1
+    if ends.count() > SOURCES:
+        plan = rows.groupBy("flow", place.alias("place")).agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows")).where("copies > 0")
+        taken = _shared_out(held, plan)
+    else:
+        # Rows equal in all that tells them apart, at the place where their source's copies change.
+        edge = rows.join(ends, "flow").where((place == F.col("once")) | (place == F.col("twice"))).groupBy("flow", place.alias("place")).agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows"))
+        several = staged(edge.where("rows > 1"), "mix-edges")
+        times = F.when(F.col("place") <= F.col("twice"), 2).when(F.col("place") <= F.col("once"), 1).otherwise(0)
+        scanned = held.where("full").join(F.broadcast(ends), "flow")
+        if several.limit(1).count():
+            apart = F.broadcast(several.select("flow", "place"))  # at most two rows a source
+            taken = scanned.join(apart, ["flow", "place"], "left_anti").withColumn("times", times).select(*names, "times")
+            taken = taken.unionByName(_shared_out(scanned.join(apart, ["flow", "place"], "left_semi").drop("once", "twice"), several))
+        else:
+            taken = scanned.withColumn("times", times)
+    repeated = taken.where("times > 0").withColumn("turn", F.explode(F.array_repeat(F.lit(1), F.col("times"))))
+    return repeated.select(*[F.col(n).alias(c) for n, c in zip(names, columns)])
+
+
+def _shared_out(held: DataFrame, plan: DataFrame) -> DataFrame:
+    """held with times: the copies of a place go to its rows in equal shares, the rest to the first ones."""
+    joined = held.join(plan, ["flow", "place"])
+    ordinal = F.row_number().over(Window.partitionBy("flow", "place").orderBy("flow")) - 1
     share = F.floor(F.col("copies") / F.col("rows")) + (ordinal < F.col("copies") % F.col("rows")).cast("int")
-    repeated = joined.withColumn("times", share.cast("int")).where("times > 0").withColumn("turn", F.explode(F.array_repeat(F.lit(1), F.col("times"))))
-    return repeated.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)])
+    return joined.withColumn("times", share.cast("int")).select(*[c for c in held.columns if c.startswith("c")], "times")
 
 
 ORACLE = r"""
