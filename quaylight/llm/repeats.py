@@ -8,9 +8,15 @@ anchor, which all of them hold, as one symbol. Windows that stand next to an equ
 a segment that itself occurs twice. More than HOT different segments of one anchor are dealt to several suffix arrays,
 each with at most about HOT; the windows that are single in theirs are then counted across the arrays, by hash.
 
+Two cases are decided by counts of hashes and no suffix array: segments that occur twice as a whole (equal 64-bit hashes
+of their bytes under one 64-bit anchor hash), and windows that repeat only across the arrays of a hot anchor (128 bits).
+Anchors meet by a 64-bit hash of GRAM bytes. A collision could remove bytes that do not repeat, with a chance of about
+n * n / 2 ** 128 over n segments; what the arrays find is compared byte by byte.
+
 Defined results: a null text is an empty one; texts are UTF-8 bytes and matches never cross documents; a repeated row
-is another document with the same text, so texts of WINDOW bytes or more vanish in it; every row gives one row; an
-empty table gives no rows; only doc_id and text are read.
+is another document with the same text, so texts of WINDOW bytes or more vanish in it; a text of any length is one scan
+of its bytes; every row gives one row; an empty table gives no rows; only doc_id and text are read, other columns may
+have any names.
 """
 
 from __future__ import annotations
@@ -23,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quaylight.llm.common import bytes_of, cut, map_batches, staged
+from quaylight.llm.common import bytes_of, cut, join_uneven, map_batches, staged
 from quaylight.llm.shingles import mixed
 from quaylight.llm.suffix_groups import suffix_array
 
@@ -31,8 +37,9 @@ WINDOW = 200
 GRAM = 96
 #: Different segments of one anchor that one suffix array takes; of more, each takes a part.
 HOT = 1024
-#: Entries up to this number (of about 24 bytes) are broadcast to a scan of the texts; beyond it both sides are shuffled.
-BROADCAST_ITEMS = 1_500_000
+#: Entries up to this number (of at most 64 bytes, so 64 MB) are broadcast to a scan of the texts; beyond it both sides
+#: are shuffled.
+BROADCAST_ITEMS = 1_000_000
 NO_ID = -(2**63)
 _RNG = np.random.default_rng(7)
 _VALUES = _RNG.integers(1, 2**63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -212,12 +219,12 @@ def repeated_stretches(docs: DataFrame) -> DataFrame:
     """id, mark, runs (flat): for each text with repeats, its bytes under windows that occur elsewhere as well."""
     rows = staged(indexed(docs).withColumn("uid", F.monotonically_increasing_id()), "segments")
     every = rows.select("uid", F.explode(F.arrays_zip("at", "a", "g")).alias("x")).select("uid", "x.at", "x.a", "x.g")
-    shared = every.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a")
-    # Written first: a join of two plain exchanges can be split where one anchor is hot.
-    places = staged(every.join(staged(shared, "shared-anchors"), "a"), "shared-segments")
+    shared = staged(every.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared-anchors")
+    places = staged(join_uneven(every, shared, ["a"], "n").drop("n"), "shared-segments")
     kinds = staged(places.groupBy("a", "g").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("uid", "at")).alias("first")).select("a", "g", "n", "first.*"), "segment-kinds")
     # Where every kind of an anchor occurs twice, there is nothing to find out.
-    told = kinds.join(kinds.groupBy("a").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least")), "a")
+    by_anchor = staged(kinds.groupBy("a").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least")), "anchor-kinds")
+    told = join_uneven(kinds, by_anchor, ["a"], "kinds")
     clear = told.where("least > 1").select("a", "g", F.array(F.lit(0), F.col("at").bitwiseAND(255).cast("int")).alias("found"))
 
     lots = F.ceil(F.col("kinds") / HOT)
