@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quaylight.llm.common import cut, map_batches, staged, without_rows
+from quaylight.llm.common import cut, join_uneven, map_batches, staged, without_rows
 from quaylight.llm.shingles import digest, mixed, shingle_sets
 
 BANDS = 32
@@ -102,8 +102,9 @@ def _close(a: str, b: str, percent: int) -> Column:
 
 def verified(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The (hub, node) pairs whose full sets are similar enough. A hub's members are dealt in groups of about SPREAD."""
-    spread = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / SPREAD).cast("int").alias("groups"))
-    members = pairs.join(spread, "hub").select("hub", F.pmod(F.xxhash64("node"), "groups").cast("int").alias("part"), "node", F.lit(1).alias("role"))
+    pairs = staged(pairs, "star-pairs")
+    spread = staged(pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / SPREAD).cast("int").alias("groups")), "star-sizes")
+    members = join_uneven(pairs, spread, ["hub"], "groups").select("hub", F.pmod(F.xxhash64("node"), "groups").cast("int").alias("part"), "node", F.lit(1).alias("role"))
     hubs = spread.select("hub", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("part"), F.col("hub").alias("node"), F.lit(0).alias("role"))
     dealt = members.unionByName(hubs).join(texts, "node").select("hub", "part", "role", "node", "text")
     dealt = dealt.repartition("hub", "part").sortWithinPartitions("hub", "part", "role")
