@@ -141,12 +141,22 @@ def test_mix_meets_targets_and_reruns_agree(make, prose):
     assert all(r.taken in (0, r.size, 2 * r.size) for r in plan)
 
 
-def test_mixed_rows_come_as_planned(make, prose):
-    docs = make([(i, prose(10 + i % 5, i), f"s{i % 2}") for i in range(40)] + [(3, prose(13, 3), "s1")] * 2 + [(None, prose(9, 77), None)])
-    docs = docs.withColumn("flow", F.lit(1)).withColumn("id", F.lit(2)).withColumn("copies", F.lit(3))
+@pytest.mark.parametrize("sources", [100_000, 0])
+def test_mixed_rows_come_as_planned(make, prose, monkeypatch, sources):
+    monkeypatch.setattr(mixing, "SOURCES", sources)
+    rows = [(i, prose(10 + i % 5, i), f"s{i % 2}") for i in range(40)] + [(3, prose(13, 3), "s1")] * 2 + [(None, prose(9, 77), None)]
+    rows += [(90, prose(30, 90), "r")] * 7 + [(91, None, "r"), (92, " ", "r"), (93, prose(20_000, 93), "t"), (94, prose(40, 94), "t")]
+    docs = make(rows).withColumn("flow", F.lit(1)).withColumn("id", F.lit(2)).withColumn("copies", F.lit(3)).withColumn("place", F.lit(4))
     plan, out = mixing.mix_plan(docs).collect(), mixing.mixed(docs)
     assert out.columns == docs.columns
-    assert sum(len(WORD.findall(r.text)) for r in out.collect()) == sum(r.taken for r in plan)
+    want, got = {}, {}
+    for r in plan:
+        want[r.doc_id] = want.get(r.doc_id, 0) + r.taken
+    for r in out.collect():
+        got[r.doc_id] = got.get(r.doc_id, 0) + len(WORD.findall(r.text))
+    assert {k: v for k, v in want.items() if v} == got
+    if sources:
+        assert "hashpartitioning(c0" not in out._jdf.queryExecution().executedPlan().toString()
 
 
 def test_mix_without_words(make):

@@ -73,7 +73,20 @@ def test_frequent_words_count_all_texts(make, monkeypatch):
     assert token_counts.frequent_words(docs, 2) == ["a", "b"]
 
 
-@pytest.mark.parametrize("run", [lambda d: bpe.coded_digests(d, WORD_BPE), lambda d: token_counts.count_tokens(d, BYTE_BPE), secrets.scan_secrets, pii.find_pii])
+RUNS = [lambda d: bpe.coded_digests(d, WORD_BPE), lambda d: token_counts.count_tokens(d, BYTE_BPE), secrets.scan_secrets, pii.find_pii]
+
+
+@pytest.mark.parametrize("run", RUNS)
+def test_repeated_rows_ids_that_are_null_and_clashing_columns(make, prose, run):
+    """Every row gives one row, equal rows equal ones, whatever else the table holds."""
+    rows = [(7, prose(40, 1), "a"), (7, prose(40, 1), "a"), (None, prose(40, 1), "a"), (7, "other", "b"), (None, None, None), (8, prose(30_000, 2), "a")]
+    docs = make(rows).selectExpr("*", "1 AS spans", "2 AS n_tokens", "3 AS ids", "4 AS h", "5 AS kept", "6 AS base_sha256")
+    got = [tuple(r)[1:] for r in run(docs).orderBy("doc_id").collect()]
+    plain = [tuple(r)[1:] for r in run(make(rows)).orderBy("doc_id").collect()]
+    assert len(got) == 6 and sorted(map(str, got)) == sorted(map(str, plain))
+
+
+@pytest.mark.parametrize("run", RUNS)
 def test_empty_tables(make, run):
     assert run(make([])).count() == 0
 
@@ -102,6 +115,87 @@ def test_base_secrets(make):
         assert set(filter(None, text.split(","))) <= set(got[i].spans.split(","))
 
 
+TOKEN = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-")
+
+
+def entropy_by_hand(text):
+    """The added spans, with every window counted anew and every run and part found letter by letter."""
+    low, high, digit = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    known, found = secret_by_hand(text), []
+
+    def runs(t, members):
+        at, out = None, []
+        for i, c in enumerate(t + "\0"):
+            if c in members:
+                at = i if at is None else at
+            elif at is not None:
+                out.append((at, i))
+                at = None
+        return [(a, b) for a, b in out if b - a >= 20]
+
+    def harmless(t):
+        letters = any(c in low + high for c in t)
+        uuid = [len(x) for x in t.split("-")] == [8, 4, 4, 4, 12] and all(c in "0123456789abcdef-" for c in t)
+        return not letters or uuid
+
+    for a, b in runs(text, TOKEN):
+        run = text[a:b]
+        if harmless(run):
+            continue
+        parts, at = [], 0
+        for part in re.split("([/_=-])", run):
+            parts.append((at, part))
+            at += len(part)
+        bad = {i for x, p in parts if any(w in p for w in ("EXAMPLE", "example", "PLACEHOLDER", "placeholder", "deadbeef", "xxxx", "XXXX")) for i in range(x, x + len(p))}
+        for x, y in runs("".join("\0" if i in bad else c for i, c in enumerate(run)), TOKEN):
+            piece = run[x:y]
+            for kind, members, bits, wants in (("entropy_hex", digit + "abcdefABCDEF", 3.1, ()), ("entropy_lower", low + digit, 3.6, (low, digit)), ("entropy_letters", low + high, 4.0, (low, high)), ("entropy_base64", TOKEN, 3.8, (digit,))):
+                for u, v in runs(piece, members):
+                    if not all(any(c in w for c in piece[u:v]) for w in wants):
+                        continue
+                    dense = [i for i in range(u, v - 19) if sum(-piece[i : i + 20].count(c) / 20 * math.log2(piece[i : i + 20].count(c) / 20) for c in set(piece[i : i + 20])) > bits + 1e-9]
+                    spans = []
+                    for i in dense:
+                        if spans and i <= spans[-1][1]:
+                            spans[-1][1] = i + 20
+                        else:
+                            spans.append([i, i + 20])
+                    for i, j in spans:
+                        s = (kind, a + x + i, a + x + j)
+                        if not any(p <= s[1] and s[2] <= q for _, p, q in [*known, *found]) and not harmless(text[s[1] : s[2]]):
+                            found.append(s)
+    return found
+
+
+def test_added_secrets_against_brute_force():
+    rng = random.Random(8)
+    alphabets = ["0123456789abcdef", "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "".join(sorted(TOKEN)), "ABab01"]
+    for k in range(1500):
+        bits = [rng.choice([" ", "/", "_", "=", "-", "example", "deadbeef", "XXXX", "word", "2024-01-02", "é", "\n", "key="]) if rng.random() < 0.4 else "".join(rng.choice(alphabets[k % 5]) for _ in range(rng.randint(1, 40))) for _ in range(rng.randint(1, 7))]
+        text = "".join(bits)
+        base, every = secrets.find(text)
+        assert sorted(set(every) - set(base)) == sorted(entropy_by_hand(text)), text
+
+
+def test_keys_of_each_class_are_found_beside_harmless_neighbours():
+    rng = random.Random(3)
+    for alphabet in ("0123456789abcdef", "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"):
+        keys = ["".join(rng.choice(alphabet) for _ in range(32)) for _ in range(300)]
+        assert sum(bool(secrets.find(f"see docs/example/{k} there")[1]) for k in keys) >= 285
+    harmless = ["internationalizationofthings", "InternationalizationSupportFramework", "2024-01-02/2025-03-04/2026", "path/to/some/other_file-name", "0f8fad5b-d9cb-469f-a165-70867728950e", "x" * 30 + "1", "THISISALLUPPERCASETEXT"]
+    assert not [t for t in harmless if secrets.find(t)[1]]
+    assert secrets.find("q7Zt9XbK2mVd81LsPwR4nYc3HgJf5uEa", secrets.Allow(words=("Vd81",)).compiled())[1] == []
+
+
+def test_long_runs_are_scanned_in_linear_time():
+    import time
+
+    began = time.time()
+    for text in ("a" * 200_000, "aB" * 100_000, "a1" * 100_000, "-" * 200_000, "/example" * 20_000):
+        secrets.find(text)
+    assert time.time() - began < 20
+
+
 def test_window_entropy_is_that_of_each_window():
     rng = random.Random(2)
     for _ in range(200):
@@ -151,7 +245,7 @@ def test_base_pii_on_long_runs():
 
 @pytest.fixture(scope="module")
 def crf():
-    return pii.train()
+    return pii.trained()
 
 
 def test_field_learns_its_table_and_more(crf):
@@ -160,6 +254,40 @@ def test_field_learns_its_table_and_more(crf):
     assert found == [[("name", "Karl Schmidt")], [("address", "77 Birch Street")], [("id", "123-45-6789")], [], [], [("email", "joe@example.com")]]
 
 
+#: Frames and names that the table does not have; spans are in brackets.
+HELD_OUT = """
+Yesterday I visited [name Tobias Lund] in hospital.|The owner, [name Beatriz Cardoso], was not at home.|[name Wei Zhang] has paid the rent.|You can reach [name Fatima Aziz] before noon.|The keys are with [name Goran Ilic].
+[name Sven Dahl] and [name Olga Smirnova] bought it.|Mrs. [name Hortensia Vidal] opened the door.|The parcel for [name Kenji Mori] is here.|Best regards, [name Noor Rahman]|Attn: [name Priscilla Boone]
+Please write to [address 41 Willow Crescent Road] soon.|We are at [address 8 Tower Street] until June.|It burned down at [address 230 Linden Avenue] in March.|Return to: [address 17 Chapel Lane]|Lunch at [address 5 Fountain Square]
+My SSN is [id 301-77-4820], do not share it.|SSN [id 555-10-2030] on the form|passport number [id K8830127] lost|Passport: [id M20K41T9Z]|The ID card [id R5519042] was found
+The Senate met on Tuesday in the old hall.|Old Town Market opens at 9 in Spring.|Chapter 4 Of The Book Is Long|Rates rose 12 percent in the North.|Version 2.0 of the Licence applies.|In 1999 The River froze.|ANNUAL REPORT FOR THE YEAR|Page 17 of 30, Table 4
+"""
+
+
+def test_held_out_frames(crf):
+    lines, gold = [], []
+    for line in re.split(r"[|\n]", HELD_OUT.strip()):
+        spans, text = [], ""
+        for part in re.split(r"(\[\w+ [^\]]*\])", line):
+            m = re.fullmatch(r"\[(\w+) ([^\]]*)\]", part)
+            if m:
+                spans.append((m[1], len(text), len(text) + len(m[2])))
+            text += m[2] if m else part
+        lines.append(text)
+        gold.append(spans)
+    found = pii.added_spans(lines, crf)
+    hits = sum(s in f for g, f in zip(gold, found) for s in g)
+    assert hits >= 0.65 * sum(map(len, gold)) and hits >= 0.8 * sum(map(len, found))
+
+
+def test_gradient_is_that_of_the_likelihood():
+    """Training raises the likelihood of the labelled table: the best path of most lines is theirs."""
+    field = pii.trained()
+    table = pii._labelled()[:600]
+    right = sum(pii.viterbi(field.scores(field.ids_of(w), np.array([0])), np.array([0]), np.array([len(w)]), field.move).tolist() == y for w, y in table)
+    assert right >= 0.95 * len(table)
+
+
 def test_viterbi_equals_the_best_path(crf):
     import itertools
 
@@ -243,6 +371,37 @@ def test_quality_without_labels(make, spark):
     assert quality_classifier.classify_quality(make([]), none).count() == 0
 
 
+def test_features_against_brute_force(prose):
+    texts = ["A b a B\nx\nx", "one", prose(300, 1), prose(12_000, 2), " \n ", "É 1,2; {x}"]
+    for t, x in zip(texts, quality_classifier.features(pa.array(texts))):
+        raw = t.encode()
+        words, lines = raw.split(), raw.split(b"\n")
+        want = [sum(c in members for c in raw) / len(raw) for members in quality_classifier.BYTE_CLASSES]
+        m = len(words)
+        more = [math.log1p(m), (len(raw) - m) / m / 10, sum(a == b for a, b in zip(words, words[1:])) / m, math.log1p(len(set(words))) / math.log1p(m), 1 - len(set(lines)) / len(lines), len({w.lower() for w in words}) / m, sum(w.isupper() for w in set(words)) / len(set(words))] if m else [0] * 7
+        assert np.allclose(x, want + more)
+
+
+def test_fit_is_the_minimum_of_the_loss():
+    rng = np.random.default_rng(4)
+    y = rng.integers(0, 2, 80)
+    x = rng.normal(size=(80, 5)) + y[:, None] * [0.5, -0.3, 0, 0.1, 0]
+    ranker = quality_classifier.fit(x, y)
+    z = (x - ranker.mean) / ranker.scale
+    loss = lambda w: np.mean([np.log1p(np.exp(-(a - b) @ w)) for a in z[y == 1] for b in z[y == 0]]) + 1e-3 / 2 * w @ w
+    best = loss(ranker.weights)
+    assert all(loss(ranker.weights + 1e-2 * d) > best for d in rng.normal(size=(12, 5)))
+
+
+def test_quality_of_repeated_rows_long_texts_and_clashing_columns(make, prose, spark):
+    rows = [(i, prose(30, i) if i % 2 else "### !!! $$$ " * 9, "a") for i in range(1, 60)] + [(3, prose(30, 3), "a"), (None, prose(30, 3), "a"), (70, prose(20_000, 5), "b")]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(1, 60)], "doc_id long, quality int, toxic int")
+    plain = quality_classifier.classify_quality(make(rows), labels).collect()
+    more = quality_classifier.classify_quality(make(rows).selectExpr("*", "1 AS quality", "2 AS score", "3 AS x"), labels.selectExpr("*", "'t' AS text")).collect()
+    assert len(plain) == len(rows) and sorted(map(str, plain)) == sorted(map(str, more))
+    assert len({r.score for r in plain if r.doc_id in (3, None)}) == 1 and next(r.predicted for r in plain if r.doc_id == 70) == 1
+
+
 def test_features_of_slices():
     column = pa.array(["A a\nb", None, "", "é! " * 10])
     whole = quality_classifier.features(column)
