@@ -80,6 +80,27 @@ def test_small_blocks_find_the_same(make, prose, monkeypatch):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in minhash.near_components(make(rows)).collect()), key=repr) == want
 
 
+def test_unlike_texts_with_one_boilerplate_do_not_meet(make, prose, monkeypatch):
+    """They fill common buckets, but nothing is moved for them beyond their own shingles; similar ones among them meet."""
+    boiler = prose(60, 999)
+    texts = [f"{boiler} {prose(40, 5000 + i)}" for i in range(250)]
+    texts += [t + " end of text" for t in texts[:5]]
+    opened, met = [], []
+    plain, found = minhash._open_nodes, minhash._meetings
+    monkeypatch.setattr(minhash, "_open_nodes", lambda *a: opened.append(plain(*a)) or opened[-1])
+    monkeypatch.setattr(minhash, "_meetings", lambda *a: met.append(found(*a)) or met[-1])
+    got = {r.doc_id: r.component_id for r in minhash.near_components(make(texts)).collect()}
+    assert got == {i: i if i < 250 else i - 250 for i in range(255)}
+    assert opened[0].count() > 100 and met[0].count() < opened[0].count()
+
+
+def test_near_rows_that_repeat_and_clashing_columns(make, prose):
+    rows = [(1, prose(40, 1), "a"), (1, prose(40, 1), "a"), (2, prose(40, 1) + " x", "a"), (None, prose(40, 1), "a"), (3, prose(15_000, 2), "a"), (4, prose(15_000, 2) + " y", "b")]
+    docs = make(rows).selectExpr("*", "1 AS node", "2 AS label", "3 AS mark", "4 AS digest", "5 AS kept")
+    got = minhash.near_components(docs).collect()
+    assert sorted((str(r.doc_id), r.component_id) for r in got) == [("1", 1), ("1", 1), ("2", 1), ("3", 3), ("4", 3), ("None", 1)]
+
+
 def test_near_deduplicated(make, prose):
     docs = make([(0, prose(50, 1), "a"), (1, prose(50, 1), "a"), (2, None, "a"), (3, "", "b"), (4, prose(50, 2), "b"), (4, prose(50, 1) + " x", "b")]).withColumn("id", F.lit(1)).withColumn("node", F.lit(2))
     out = minhash.deduplicated(docs)
