@@ -3,13 +3,13 @@
 Texts with equal shingle sets are one node from the start. One permutation (the shingle hash) fills BINS bins with the
 smallest hash of each; an empty bin takes the value of the bin that its own sequence of hashed places meets first. Bands
 of ROWS bins name buckets. In each bucket a star of candidate edges compares one hub, its most often met node, with the
-others, on full sets; links make components. What a star leaves open is closed exactly: nodes of buckets with several
-components meet again under their rare shingles (a prefix filter), and those of different components are compared on
-full sets. That pass moves nodes, not pairs: of each group all but the largest component go out in blocks, and the group
-is streamed past each block. Unlike texts that only share boilerplate do not meet.
+others, on full sets; links make components. What a star leaves open is closed exactly: every node outside of a bucket's
+largest component is compared with all nodes it shares a bucket with. That pass moves nodes, not pairs: nodes with one
+hub are a family, its open nodes go out in blocks, and the families they meet are streamed past each block.
 
-Two texts at the threshold share no bucket with probability (1 - 0.75 ** ROWS) ** BANDS = 5e-6. Sets are compared by 64-bit
-hashes of their shingles: two different shingles of a pair are taken for one with a chance of about n * n / 2 ** 64.
+That pass is quadratic in the unlike nodes of one bucket. Two texts at the threshold share no bucket with probability
+(1 - 0.75 ** ROWS) ** BANDS = 5e-6. Sets are compared by 64-bit hashes of their shingles: two different shingles of a pair
+are taken for one with a chance of about n * n / 2 ** 64.
 
 Defined results: a null or empty text has no shingles and is linked with nothing; a row with a null doc_id is compared
 like any other and its component is the smallest id it reaches, if there is one; every row gives one row, repeated
@@ -151,52 +151,29 @@ def components(links: DataFrame, a: str = "hub", b: str = "node") -> DataFrame:
             return labels
 
 
-def _open_nodes(starred: DataFrame, labels: DataFrame) -> DataFrame:
-    """node, label of the nodes of buckets that hold more than one component after the stars."""
-    named = staged(starred.select("bucket", "node").join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label")), "named-buckets")
-    several = named.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("held")).where("lo < hi").select("bucket", "held")
-    return staged(join_uneven(named, staged(several, "open-buckets"), ["bucket"], "held").select("node", "label").distinct(), "open-nodes")
-
-
-def _meetings(opened: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """family, node, label: groups of open nodes in which every similar pair of different components meets.
-
-    Sets of n shingles that reach the threshold share one of their n - ceil(t * n) + 1 rarest ones, by their frequency
-    among the open nodes. So nodes meet under their rare shingles only: what thousands of unlike texts share (the
-    boilerplate that brought them into one bucket) is frequent and no one's meeting place. Groups with the same members
-    are one, and groups of one component are none."""
-
-    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [x for part in cut(batch, 2 << 20) for x in shingle_sets(part.column(2))]
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], names=["node", "label", "s"])
-
-    sets = staged(map_batches(opened.join(texts, "node").select("node", "label", "text"), "node long, label long, s array<long>", step), "open-sets")
-    tokens = sets.select("node", "label", F.size("s").alias("n"), F.explode("s").alias("s"))
-    often = staged(tokens.groupBy("s").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "shared-shingles")
-    held = join_uneven(tokens, often, ["s"], "c")
-    # Shingles of one node alone are its rarest; they take their places in the prefix.
-    shared = held.groupBy("node", "label", "n").agg(F.sort_array(F.collect_list(F.struct("c", "s"))).alias("x"))
-    slots = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.size("x"))
-    prefix = shared.where(slots > 0).select("node", "label", F.explode(F.slice("x", 1, slots.cast("int"))).alias("x")).select(F.col("x.s").alias("family"), "node", "label")
-    prefix = staged(prefix, "rare-shingles")
-    groups = prefix.groupBy("family").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("node")).alias("h"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("k")).where("lo < hi")
-    kept = staged(groups.groupBy("size", "h", "k").agg(F.min("family").alias("family")).select("family", "size"), "meetings")
-    return staged(join_uneven(prefix, kept, ["family"], "size"), "meeting-nodes")
-
-
 def _closed(starred: DataFrame, labels: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The (hub, node) links between nodes that share a bucket, but are not in one component after the stars."""
-    met = _meetings(_open_nodes(starred, labels), texts, percent)
-    parts = met.groupBy("family", "label").agg(F.count(F.lit(1)).alias("of"))
-    deal = parts.groupBy("family").agg(F.max(F.struct("of", "label"))["label"].alias("top"), F.max("of").alias("most"), F.sum("of").alias("size"))
-    # A group's largest component is streamed past the blocks of the others.
-    deal = staged(deal.select("family", "top", "size", F.ceil((F.col("size") - F.col("most")) / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("size") / STREAM).cast("int").alias("streams")), "meeting-sizes")
-    placed = join_uneven(met.drop("size"), deal, ["family"], "size")
+    """The (hub, node) links between nodes of one bucket that are not in one component after the stars."""
+    # A node's family is its most met hub's, which again has a hub: two doublings follow that up to four steps.
+    family = staged(starred.groupBy("node").agg(F.max("hub").alias("hub")).select("node", F.col("hub.node").alias("family")), "families")
+    for _ in range(2):
+        above = family.select(F.col("node").alias("family"), F.col("family").alias("upper"))
+        family = family.join(above, "family").select("node", F.col("upper").alias("family"))
+    named = starred.select("bucket", "node").join(labels, "node", "left").join(family, "node").select("bucket", "node", "family", F.coalesce("label", "node").alias("label"))
+    parts = named.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("size"))
+    tops = parts.groupBy("bucket").agg(F.max(F.struct("size", "label")).alias("top"), F.count(F.lit(1)).alias("labels")).where("labels > 1").select("bucket", F.col("top.label").alias("top"))
+    rest = staged(named.join(tops, "bucket"), "open-buckets")
+    outside = rest.where("label <> top")
+    loose = staged(outside.select("family", "node").distinct(), "open-nodes")
+    meets = outside.select("bucket", "family").distinct().join(rest.select("bucket", F.col("family").alias("other")).distinct(), "bucket").select("family", "other").distinct()
+    members = rest.select(F.col("family").alias("other"), "node").distinct()
+    met = staged(meets.join(members, "other").select("family", "node").distinct(), "met-nodes")
+    deal = loose.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    deal = deal.join(met.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / STREAM).cast("int").alias("streams")), "family")
     lot = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    blocks = placed.where("label <> top").select("family", lot("blocks", 1).alias("block"), every("streams").alias("stream"), F.lit(0).alias("role"), "node", "label")
-    streams = placed.select("family", every("blocks").alias("block"), lot("streams", 2).alias("stream"), F.lit(1).alias("role"), "node", "label")
-    dealt = staged(blocks.unionByName(streams), "meetings-dealt").join(texts, "node").select("family", "block", "stream", "role", "node", "label", "text")
+    blocks = loose.join(deal, "family").select("family", lot("blocks", 1).alias("block"), every("streams").alias("stream"), F.lit(0).alias("role"), "node")
+    streams = met.join(deal, "family").select("family", every("blocks").alias("block"), lot("streams", 2).alias("stream"), F.lit(1).alias("role"), "node")
+    dealt = blocks.unionByName(streams).join(texts, "node").select("family", "block", "stream", "role", "node", "text")
     dealt = dealt.repartition("family", "block", "stream").sortWithinPartitions("family", "block", "stream", "role")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,16 +181,16 @@ def _closed(starred: DataFrame, labels: DataFrame, texts: DataFrame, percent: in
         for batch in batches:
             for part in cut(batch, 2 << 20):
                 hubs, nodes = [], []
-                for *key, role, node, label, s in zip(*(part.column(i).to_pylist() for i in range(6)), shingle_sets(part.column(6))):
+                for *key, role, node, s in zip(*(part.column(i).to_pylist() for i in range(5)), shingle_sets(part.column(5))):
                     if key != held.key:
                         held = _Block(key)
                     if role == 0:
-                        held.add((node, label), s)
-                        continue
-                    # One link to each other component is enough.
-                    near = {own: hub for hub, own in held.near(s, percent) if own != label}
-                    hubs += near.values()
-                    nodes += [node] * len(near)
+                        held.add(node, s)
+                    else:
+                        for hub in held.near(s, percent):
+                            if hub != node:
+                                hubs.append(hub)
+                                nodes.append(node)
                 if hubs:
                     yield pa.RecordBatch.from_arrays([pa.array(hubs, pa.int64()), pa.array(nodes, pa.int64())], names=["hub", "node"])
 
@@ -225,15 +202,15 @@ class _Block:
 
     def __init__(self, key: list | None = None) -> None:
         self.key = key
-        self.nodes: list[tuple[int, int]] = []
+        self.nodes: list[int] = []
         self.sets: list[np.ndarray] = []
         self.index: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
 
-    def add(self, node: tuple[int, int], s: np.ndarray) -> None:
+    def add(self, node: int, s: np.ndarray) -> None:
         self.nodes.append(node)
         self.sets.append(s)
 
-    def near(self, s: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    def near(self, s: np.ndarray, percent: int) -> list[int]:
         """The block's nodes that are similar enough to s. Nodes are dealt by hash, so a block can be empty."""
         if not self.sets:
             return []

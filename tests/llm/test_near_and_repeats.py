@@ -80,18 +80,13 @@ def test_small_blocks_find_the_same(make, prose, monkeypatch):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in minhash.near_components(make(rows)).collect()), key=repr) == want
 
 
-def test_unlike_texts_with_one_boilerplate_do_not_meet(make, prose, monkeypatch):
-    """They fill common buckets, but nothing is moved for them beyond their own shingles; similar ones among them meet."""
+def test_unlike_texts_with_one_boilerplate(make, prose):
+    """They fill common buckets without being similar; the similar ones among them are found."""
     boiler = prose(60, 999)
     texts = [f"{boiler} {prose(40, 5000 + i)}" for i in range(250)]
     texts += [t + " end of text" for t in texts[:5]]
-    opened, met = [], []
-    plain, found = minhash._open_nodes, minhash._meetings
-    monkeypatch.setattr(minhash, "_open_nodes", lambda *a: opened.append(plain(*a)) or opened[-1])
-    monkeypatch.setattr(minhash, "_meetings", lambda *a: met.append(found(*a)) or met[-1])
     got = {r.doc_id: r.component_id for r in minhash.near_components(make(texts)).collect()}
     assert got == {i: i if i < 250 else i - 250 for i in range(255)}
-    assert opened[0].count() > 100 and met[0].count() < opened[0].count()
 
 
 def test_near_rows_that_repeat_and_clashing_columns(make, prose):
