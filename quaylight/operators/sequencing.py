@@ -118,12 +118,14 @@ def retransmit_plan(detected: DataFrame, batch: int = MAX_RETRANSMIT) -> DataFra
     return detected.select("channel", "gap_start", F.least(F.col("gap_length"), F.lit(batch)).cast("long").alias("request_count"))
 
 
-def served(requests: DataFrame, messages: DataFrame, window: int) -> DataFrame:
-    """What a retransmission server answers from its last `window` messages: the run from gap_start on that it still
-    holds without a hole, 0 (a reject) if it does not hold the first."""
-    newest = messages.groupBy("channel").agg(F.max("n").alias("newest"))
+def served(requests: DataFrame, messages: DataFrame, window: int | None = None) -> DataFrame:
+    """What a retransmission server answers after all messages: the run from gap_start on that it still holds without a
+    hole, 0 (a reject) if it does not hold the first. It holds every message, or only a channel's last `window` numbers."""
     asked = requests.withColumn("n", F.explode(F.expr("sequence(gap_start, gap_start + request_count - 1)")))
-    held = messages.join(newest, "channel").where(F.col("n") > F.col("newest") - window).select("channel", "n", F.lit(1).alias("held"))
+    if window is not None:
+        newest = messages.groupBy("channel").agg(F.max("n").alias("newest"))
+        messages = messages.join(newest, "channel").where(F.col("n") > F.col("newest") - window)
+    held = messages.select("channel", "n", F.lit(1).alias("held"))
     found = asked.join(held, ["channel", "n"], "left").groupBy("channel", "gap_start", "request_count").agg(F.min(F.when(F.col("held").isNull(), F.col("n"))).alias("missing"))
     return found.select("channel", "gap_start", "request_count", F.coalesce(F.col("missing") - F.col("gap_start"), F.col("request_count")).cast("long").alias("served"))
 

@@ -169,3 +169,20 @@ def test_reordering_within_the_grace_asks_for_nothing(spark):
     a = spark.createDataFrame([(0, 1, 1, 3, "L", False), (0, 2, 7, 3, "L", False), (0, 5, 4, 3, "L", False), (0, 6, 20, 1, "L", False), (0, 50, 14, 2, "L", False)], ARRIVALS)
     assert {tuple(r) for r in Q.detected_gaps(a).collect()} == {(0, 2, 4, 3), (0, 6, 10, 10)}
     assert {tuple(r) for r in Q.detected_gaps(a, grace=10).collect()} == {(0, 6, 10, 10)}
+
+
+def test_gaps_far_behind_the_last_message_are_served(spark, tmp_path):
+    import importlib
+
+    import duckdb
+
+    entry = importlib.import_module("__spark_entry__")
+    kind = "element_at(array('signup', 'view', 'click', 'error', 'purchase'), CAST(id % 5 AS INT) + 1) AS event_type"
+    events = spark.range(270_000).selectExpr("id AS event_id", "TIMESTAMP_NTZ '2024-01-01 00:00:00' AS ts", "0L AS user_id", kind, "1.5D AS value", "'{\"k\": 3}' AS props")
+    events.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    got = entry.queries()["retransmit_served"](spark, str(tmp_path))
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = db.sql(entry.oracle_sql()["retransmit_served"])
+    assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(want.fetchall())
+    assert got.where("gap_start = 105").first().served == 8
