@@ -407,3 +407,40 @@ def test_features_of_slices():
     column = pa.array(["A a\nb", None, "", "é! " * 10])
     whole = quality_classifier.features(column)
     assert np.allclose(whole[2:], quality_classifier.features(column.slice(2))) and not whole[1].any()
+
+
+def test_fit_takes_every_pair():
+    rng = np.random.default_rng(6)
+    y = rng.integers(0, 2, 900)
+    x = rng.normal(size=(900, 4)) + y[:, None] * [1.2, -0.8, 0, 0.3]
+    x[0], x[1, 2] = x[0] * 40, 1e3
+    ranker = quality_classifier.fit(x, y)
+    z = (x - ranker.mean) / ranker.scale
+    d, w = (z[y == 1][:, None] - z[y == 0][None]).reshape(-1, 4), ranker.weights
+    assert len(d) > 200_000
+    p = 1 / (1 + np.exp(d @ w))
+    slope = 1e-3 * w - d.T @ p / len(d)
+    bend = (d * (p * (1 - p))[:, None]).T @ d / len(d) + 1e-3 * np.eye(4)
+    assert np.abs(np.linalg.solve(bend, slope)).max() < 1e-4
+    s = np.sort(ranker.strengths(x))
+    assert ranker.at == s[(y == 0).sum() - 1 : (y == 0).sum() + 1].mean()
+
+
+def test_every_labelled_row_teaches(make, spark):
+    rng = random.Random(9)
+    n = 9000
+    texts = [" ".join(rng.choice(["an", "the", "On", "x1", "##", "Ti!", "re."][: 4 + (i % 3 == 0 or rng.random() < 0.2) * 3]) for _ in range(rng.randint(3, 12))) for i in range(n)]
+    labels = [(i, int(i % 3 > 0), 0) for i in range(n)]
+    rows = quality_classifier.classify_quality(make(texts), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    x, y = quality_classifier.features(pa.array(texts)), np.array([q for _, q, _ in labels])
+    taught = np.array([zlib.crc32(str(i).encode()) % 4 != 2 for i in range(n)])
+    assert taught.sum() > 6500
+    want = quality_classifier.fit(x[taught], y[taught]).scores(x)
+    assert max(abs(r.score - want[r.doc_id]) for r in rows) < 1e-6
+
+
+def test_threshold_is_an_exact_quantile():
+    s = np.concatenate([np.random.default_rng(2).normal(size=500) * 1e3, [0.0, -0.0, 1e-300, -1e-300, 5.0, 5.0, 5.0]])
+    far = np.sort(s)
+    for k in range(len(s) - 1):
+        assert quality_classifier.threshold([k, k + 1], lambda *a: quality_classifier.digits(s, *a)) == far[k : k + 2].mean()
